@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, packing, simhash
+from . import bpe, exact, lines, packing, secrets, simhash
 
 QUERIES = {
     f.__name__: f
@@ -10,8 +10,10 @@ QUERIES = {
         simhash.op1_simhash_near_dedup,
         packing.op2_packing,
         bpe.op3_bpe_encode_decode,
+        lines.op6_line_dedup,
         exact.op7_exact_dedup,
+        secrets.op9_secret_scans,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": exact.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": exact.OP7_SQL, "op9_secret_scans": secrets.OP9_SQL}
