@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, lines, packing, secrets, simhash
+from . import bpe, exact, lines, packing, perplexity, secrets, simhash
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         bpe.op3_bpe_encode_decode,
         lines.op6_line_dedup,
         exact.op7_exact_dedup,
+        perplexity.op8_quality_rules,
         secrets.op9_secret_scans,
     )
 }
