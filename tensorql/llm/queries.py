@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, lines, packing, perplexity, secrets, simhash
+from . import bpe, exact, gam, lines, packing, perplexity, secrets, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -10,10 +10,12 @@ QUERIES = {
         simhash.op1_simhash_near_dedup,
         packing.op2_packing,
         bpe.op3_bpe_encode_decode,
+        toxicity.op5_toxicity,
         lines.op6_line_dedup,
         exact.op7_exact_dedup,
         perplexity.op8_quality_rules,
         secrets.op9_secret_scans,
+        gam.op10_quality_classifier,
     )
 }
 
