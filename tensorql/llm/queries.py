@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, gam, lines, packing, perplexity, secrets, simhash, toxicity
+from . import bpe, exact, gam, lines, packing, perplexity, revisits, secrets, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         simhash.op1_simhash_near_dedup,
         packing.op2_packing,
         bpe.op3_bpe_encode_decode,
+        revisits.op4_warc_revisits,
         toxicity.op5_toxicity,
         lines.op6_line_dedup,
         exact.op7_exact_dedup,
@@ -19,4 +20,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": exact.OP7_SQL, "op9_secret_scans": secrets.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc_revisits": revisits.OP4_SQL, "op7_exact_dedup": exact.OP7_SQL, "op9_secret_scans": secrets.OP9_SQL}

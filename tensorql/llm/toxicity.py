@@ -1,15 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Input at each word: a learned vector of the word (hashed), the mean of learned vectors of its
-character trigrams (hashed), and how much likelier the word is in toxic training documents.
+character trigrams (hashed), how much likelier the word is in toxic training documents, and
+the same for the likeliest of its beginnings of 4 to 6 characters.
 A gated recurrent unit runs over each window of words in either direction; attention pools its
 states into one logit. Windows overlap by half and cover the whole text; a document's score
 comes from its highest window through a fitted logistic.
 
 Documents are labelled, windows are not: in each epoch a toxic document teaches with its
 highest window, and others with their highest and some more. Training runs on the driver over
-a bounded sample of labelled rows (TRAIN_ROWS, half of each label where there are enough, the
-first by a hash of the id). The word's likelihood is cross-fitted in two halves, so that no
+a bounded sample of labelled rows (TRAIN_ROWS, the first by a hash of the id). These likelihoods are cross-fitted in two halves, so that no
 training document sees counts of itself.
 
 Defined results: null text counts as empty; a text without words is one window of padding.
@@ -19,9 +19,10 @@ Repeated rows are scored alike.
 
 from __future__ import annotations
 
-import re
 import zlib
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,31 +31,56 @@ from pyspark.sql import functions as F
 from . import _common as C
 from .gam import bucket
 
-TRAIN_ROWS = 4_000
-WINDOW, STRIDE = 32, 16
-WORDS, TRIGRAMS, ODDS = 4096, 4096, 1 << 16
+TRAIN_ROWS = 6_000
+WINDOW, STRIDE = 32, 24
+WORDS, TRIGRAMS, ODDS = 4096, 4096, 1 << 18
+BEGINNINGS = (4, 5, 6)
+INPUTS = 14
 DIM, HIDDEN = 6, 8
-EPOCHS, BATCH, RATE = 8, 256, 0.01
+EPOCHS, BATCH, RATE = 6, 256, 0.01
 THRESHOLD = 0.3
 #: Words that a worker keeps prepared; when full, the table starts anew.
 KEEP = 200_000
-STRIP = re.compile(r"^\W+|[\W_]+$")
+MARKS = "".join(c for c in map(chr, range(33, 256)) if not c.isalnum())
 
 
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def hashes(word: str) -> tuple[int, int, list[int]]:
-    """Places of the word in the two word tables and of its trigrams."""
-    w = STRIP.sub("", word)
-    h = zlib.crc32(w.encode("utf-8", "replace"))
-    padded = f"^{w}$"
-    return h % WORDS, (h >> 7) % ODDS, [zlib.crc32(padded[i : i + 3].encode("utf-8", "replace")) % TRIGRAMS for i in range(max(1, len(padded) - 2))]
+class Prepared(NamedTuple):
+    """Places of words in the tables: their own, of odds (word, then beginnings), of trigrams (all words', one after the other)."""
+
+    word: np.ndarray
+    odds: np.ndarray
+    tri: np.ndarray
+    size: np.ndarray
+    begin: np.ndarray
+
+
+def prepare(words: list[str]) -> Prepared:
+    bare = [w.strip(MARKS) for w in words]
+    own = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in bare), np.int64, len(bare))
+    length = np.fromiter(map(len, bare), np.int64, len(bare)) + 2
+    start = np.cumsum(length) - length
+    codes = np.frombuffer("".join([f"^{w}$" for w in bare]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    odds = [own >> 7]
+    h = np.zeros(len(bare), np.uint64)
+    for k in range(max(BEGINNINGS) + 1):  # the character before the word counts as the first
+        on = k < length
+        h[on] = (h[on] * np.uint64(0x9E3779B1) + codes[start[on] + k]) & np.uint64(0xFFFFFFFFFFFF)
+        if k in BEGINNINGS:
+            odds.append((h >> np.uint64(11)).astype(np.int64) + k)
+    size = np.maximum(1, length - 2)
+    begin = np.cumsum(size) - size
+    at = np.repeat(start - begin, size) + np.arange(size.sum())
+    pad = np.concatenate([codes, np.zeros(2, np.uint64)])
+    tri = (pad[at] * np.uint64(0x9E3779B1) + pad[at + 1] * np.uint64(0x85EBCA77) + pad[at + 2] * np.uint64(0xC2B2AE3D)) >> np.uint64(9)
+    return Prepared(own % WORDS, np.stack(odds, 1) % ODDS, (tri % np.uint64(TRIGRAMS)).astype(np.int64), size, begin)
 
 
 def window_starts(n: int) -> list[int]:
-    return list(range(0, max(1, n - STRIDE), STRIDE))
+    return list(range(0, max(1, n - WINDOW + STRIDE), STRIDE))
 
 
 def _sigmoid(x):
@@ -99,7 +125,7 @@ class Network:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         draw = lambda *s, k=0.1: (rng.standard_normal(s) * k).astype(np.float32)
-        d = 2 * DIM + 1
+        d = INPUTS
         self.p = {
             "word": draw(WORDS, DIM), "tri": draw(TRIGRAMS, DIM), "wa": draw(2 * HIDDEN, HIDDEN, k=0.4), "va": draw(HIDDEN, k=0.4),
             "wo": draw(2 * HIDDEN, k=0.4), "bo": np.zeros(1, np.float32),
@@ -110,14 +136,13 @@ class Network:
         self.slope = np.array([1.0, 0.0])
         self.constant: float | None = None
 
-    def inputs(self, hashed: list[tuple[int, int, list[int]]], odds: np.ndarray | None = None) -> np.ndarray:
+    def inputs(self, w: Prepared, odds: np.ndarray | None = None) -> np.ndarray:
         """A row for each word."""
-        odds = self.odds if odds is None else odds
-        flat = np.fromiter((t for h in hashed for t in h[2]), np.int64)
-        size = np.array([len(h[2]) for h in hashed])
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        chars = np.add.reduceat(self.p["tri"][flat], begin, axis=0) / size[:, None] if len(hashed) else np.zeros((0, DIM), np.float32)
-        return np.concatenate([self.p["word"][[h[0] for h in hashed]], chars, odds[[h[1] for h in hashed]][:, None]], 1).astype(np.float32)
+        if not len(w.word):
+            return np.zeros((0, INPUTS), np.float32)
+        o = (self.odds if odds is None else odds)[w.odds]
+        chars = np.add.reduceat(self.p["tri"][w.tri], w.begin, axis=0) / w.size[:, None]
+        return np.concatenate([self.p["word"][w.word], chars, o[:, :1], o[:, 1:].max(1, keepdims=True)], 1).astype(np.float32)
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """Inputs times weights of both directions; the last row is padding, which adds nothing."""
@@ -158,7 +183,7 @@ class Vocabulary:
     """Numbers of words, with their projected inputs; for scoring."""
 
     def __init__(self, net: Network):
-        self.net, self.place, self.rows = net, {}, net.projected(np.zeros((0, 2 * DIM + 1), np.float32))
+        self.net, self.place, self.rows = net, {}, net.projected(np.zeros((0, INPUTS), np.float32))
 
     def add(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.place]
@@ -166,7 +191,7 @@ class Vocabulary:
             self.place, self.rows, new = {}, self.rows[-1:], list(words)
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            parts = [self.net.projected(self.net.inputs([hashes(w) for w in new[i : i + 20_000]]))[:-1] for i in range(0, len(new), 20_000)]
+            parts = [self.net.projected(self.net.inputs(prepare(new[i : i + 20_000])))[:-1] for i in range(0, len(new), 20_000)]
             self.rows = np.concatenate([self.rows[:-1], *parts, self.rows[-1:]])
 
 
@@ -222,7 +247,7 @@ def _odds(docs: list[set[int]], y: np.ndarray) -> np.ndarray:
     n = np.array([(y == 0).sum(), (y == 1).sum()]).reshape(2, 1)
     p = (has + 1) / (n + 2)
     seen = has.sum(0)
-    return (np.log(p[1] / p[0]) * seen / (seen + 4)).astype(np.float32)
+    return (np.log(p[1] / p[0]) * seen / (seen + 10)).astype(np.float32)
 
 
 def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
@@ -234,30 +259,28 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) ->
     rng = np.random.default_rng(seed)
     split = [words_of(t) for t in texts]
     vocabulary = {w: k for k, w in enumerate(sorted(set().union(*split)))}
-    hashed = [hashes(w) for w in vocabulary]
+    prepared = prepare(list(vocabulary))
     pad = len(vocabulary)
     ids = [np.fromiter(map(vocabulary.__getitem__, s), np.int64, len(s)) for s in split]
-    slots = np.array([h[1] for h in hashed] or [0])
-    sets = [set(slots[np.unique(i)].tolist()) if len(i) else set() for i in ids]
+    sets = [set(prepared.odds[np.unique(i)].ravel().tolist()) for i in ids]
     half = np.arange(len(y)) % 2
     cross = [_odds([s for s, k in zip(sets, half, strict=True) if k != f], y[half != f]) for f in (0, 1)]
     net.odds = _odds(sets, y)
     windows = [_windows(i, pad) for i in ids]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    rate = {k: RATE * (0.1 if k in ("word", "tri") else 1.0) for k in net.p}  # tables learn words by heart if let
     step = 0
-    flat = np.fromiter((t for h in hashed for t in h[2]), np.int64)
-    size = np.array([len(h[2]) for h in hashed])
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    word_slot = np.array([h[0] for h in hashed])
 
-    def rows(odds) -> tuple[np.ndarray, np.ndarray]:
-        x = net.inputs(hashed, odds)
-        return x, net.projected(x)
+    def some(which: np.ndarray) -> Prepared:
+        size = prepared.size[which]
+        begin = np.cumsum(size) - size
+        tri = prepared.tri[np.repeat(prepared.begin[which] - begin, size) + np.arange(size.sum())]
+        return Prepared(prepared.word[which], prepared.odds[which], tri, size, begin)
 
     def logits(which: np.ndarray) -> list[np.ndarray]:
         out: list = [None] * len(which)
         for f in (0, 1):
-            table = rows(cross[f])[1]
+            table = net.projected(net.inputs(prepared, cross[f]))
             own = [k for k, d in enumerate(which) if half[d] == f]
             for at in range(0, len(own), 64):
                 part = own[at : at + 64]
@@ -267,16 +290,18 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) ->
                     out[k] = v
         return out
 
+    likely = [np.concatenate([cross[f][prepared.odds].max(1), [0]]) for f in (0, 1)]
     for epoch in range(epochs):
         if epoch == 0:  # before anything is learned: the window with the likeliest words
             top = []
             for d in range(len(y)):
-                o = np.concatenate([cross[half[d]][slots[: len(hashed)]], [0]])[windows[d]]
-                top.append(np.maximum(o, 0).sum(0))
+                top.append(np.maximum(likely[half[d]][windows[d]], 0).sum(0))
         else:
             top = logits(np.arange(len(y)))
+        # Labels have errors: a toxic document whose best window still looks clean late in training teaches no more.
+        doubt = (y == 1) & (np.array([t.max() for t in top]) < 0) if epoch >= 3 else np.zeros(len(y), bool)
         chosen, target, fold = [], [], []
-        for d in range(len(y)):
+        for d in np.flatnonzero(~doubt):
             best = int(np.argmax(top[d]))
             picks = {best} if y[d] else {best, *rng.integers(0, windows[d].shape[1], 2).tolist()}
             for k in sorted(picks):
@@ -292,7 +317,8 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) ->
                 w, where = np.unique(chosen[:, part], return_inverse=True)
                 where = where.reshape(WINDOW, len(part))
                 real = w[w < pad]
-                x = np.concatenate([net.inputs([hashed[i] for i in real], cross[f]), np.zeros((len(w) - len(real), 2 * DIM + 1), np.float32)])
+                own_words = some(real)
+                x = np.concatenate([net.inputs(own_words, cross[f]), np.zeros((len(w) - len(real), INPUTS), np.float32)])
                 a = np.concatenate([x @ net.p["w0"] + net.p["b0"], x @ net.p["w1"] + net.p["b1"]], 1)
                 a[len(real) :] = 0
                 logit, kept = net.forward(a[where], True)
@@ -305,16 +331,14 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) ->
                     g[f"w{i}"], g[f"b{i}"] = x.T @ d_rows[:, cols], d_rows[:, cols].sum(0)
                     d_x += d_rows[:, cols] @ net.p[f"w{i}"].T
                 g["word"], g["tri"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["tri"])
-                np.add.at(g["word"], word_slot[real], d_x[: len(real), :DIM])
-                if len(real):
-                    tri = np.concatenate([flat[begin[i] : begin[i] + size[i]] for i in real])
-                    np.add.at(g["tri"], tri, np.repeat(d_x[: len(real), DIM : 2 * DIM] / size[real][:, None], size[real], axis=0))
+                np.add.at(g["word"], own_words.word, d_x[: len(real), :DIM])
+                np.add.at(g["tri"], own_words.tri, np.repeat(d_x[: len(real), DIM : 2 * DIM] / own_words.size[:, None], own_words.size, axis=0))
                 step += 1
                 for k, v in net.p.items():  # Adam
                     m, s = moments[k]
                     m += 0.1 * (g[k] - m)
                     s += 0.001 * (g[k] ** 2 - s)
-                    v -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    v -= (rate[k] * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     best = np.array([v.max() for v in logits(np.arange(len(y)))])
     slope = np.array([1.0, 0.0])
     for _ in range(200):  # logistic on the highest logits, lightly held to the slope 1
@@ -334,9 +358,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> N
     """docs (doc_id, text), labels (doc_id, label). At most train_rows whole texts come to the driver."""
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     labels = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    ids = [labels.where(F.col("label") == k).orderBy(*order).limit(train_rows // 2) for k in (0, 1)]
-    # At most train_rows ids, so they may go to all.
-    wanted = F.broadcast(ids[0].union(ids[1]))
+    wanted = F.broadcast(labels.orderBy(*order).limit(train_rows))  # at most train_rows ids, so they may go to all
     rows = docs.join(wanted, "doc_id").select("doc_id", "text", "label").orderBy(*order, "text").limit(train_rows).toArrow()
     return fit([t or "" for t in rows["text"].to_pylist()], rows["label"].to_numpy().astype(np.float64))
 
