@@ -305,6 +305,8 @@ def simplify(s: Scalar) -> Scalar:
         return a[2]
     elif s.op == "conj" and a[0].op == "conj":
         return a[0].args[0]
+    elif s.op == "conj" and a[0].op == "constant":
+        return constant(a[0].payload.conjugate(), COMPLEX)
     elif s.op == "convert" and a[0].op == "constant":
         return constant(a[0].payload, s.dtype)
     return s
