@@ -13,16 +13,19 @@ packed like any other. Ties go to the window opened first.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
+from .bpe import byte_symbols
 
 WINDOW = 2048
 OPEN = 128
@@ -31,49 +34,92 @@ FAN_IN = 16
 END_ID = 1
 #: Runs that a worker keeps encoded; when full, the table starts anew.
 KEEP = 300_000
+#: How the file splits texts before its merges: the pattern of byte-level vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Sequence ids of merged windows have this bit.
 MERGED = 1 << 61
 
 
 class ByteBpe:
-    """Ids of a byte-level tokenizer file by the tokenizers library, as little-endian 32-bit bytes.
+    """Ids of a byte-level tokenizer file as the tokenizers library gives them, as little-endian 32-bit bytes.
 
     The file's pattern never joins a character that isn't white space with the white space
     after it, so a text may be cut before each single space between two such characters.
-    What lies between cuts is encoded once and kept.
+    What lies between cuts is encoded once and kept. Latin runs that are new go through
+    tiktoken, many in one string, with the ranks of the same file (where its merges are in the
+    order of its ids); all others go through the tokenizers library one by one.
     """
 
     #: White space other than a space or a line feed, or what some version of a pattern may take for it.
-    ODD = re.compile("[^\\S \n]|[\x85\u180e\u200b\u2060\ufeff]|  | \n|\n ")
+    ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+    ODD_ASCII = re.compile("[\t\x0b\x0c\r\x1c-\x1f]")
+    LATIN = "\u0250"
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        vocab = {bytes(byte_of[c] for c in t): k for t, k in spec["model"]["vocab"].items() if t not in self.special}
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
+        in_order = all(spec["model"]["vocab"][t] == 256 + k for k, t in enumerate(merged)) and len(vocab) == 256 + len(merged)
+        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={}) if in_order else None
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for t, k in vocab.items():
+            self.width[k] = len(t)
         self.seen: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
-        return b"".join(k.to_bytes(4, "little") for k in self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.ODD.search(text) or text[0] == " " or text[-1] == " ":
-            return self._encode(text)
-        first, *rest = text.split(" ")
-        seen, out = self.seen, [self._encode(first)]
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, text: str) -> bool:
+        """Cut safely at every space."""
+        if not text or text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text:
+            return False
+        return text.isascii() and not self.ODD_ASCII.search(text) or not self.ODD.search(text)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes runs, each of which begins with a space."""
+        seen, plain = self.seen, []
+        for r in new:
+            if self.fast and max(r) < self.LATIN and r[-1] != "\n" and not ("<|" in r and any(s in r for s in self.special)):
+                plain.append(r)
+            else:
+                seen[r] = self._encode(" " + r)
+        if plain:
+            ids = self.fast.encode_to_numpy(" " + " ".join(plain))
+            ends = np.cumsum(self.width[ids])
+            sizes = np.fromiter((len(r.encode("utf-8")) + 1 for r in plain), np.int64, len(plain))
+            cuts = np.searchsorted(ends, np.cumsum(sizes)) + 1
+            data, at = ids.astype("<u4").tobytes(), 0
+            for r, cut in zip(plain, (4 * cuts).tolist(), strict=True):
+                seen[r] = data[at:cut]
+                at = cut
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        seen = self.seen
         if len(seen) > KEEP:
             seen.clear()
-        try:
-            out += [seen[r] for r in rest]
-        except KeyError:
-            for r in {*rest}:
-                if r not in seen:
-                    seen[r] = self._encode(" " + r)
-            out += [seen[r] for r in rest]
-        return b"".join(out)
+        split = [t.split(" ") if self._plain(t) else None for t in texts]
+        rest: set[str] = set()
+        for runs in split:
+            if runs:
+                rest.update(runs[1:])
+        if new := [r for r in rest if r not in seen]:
+            self._learn(new)
+        out = []
+        for text, runs in zip(texts, split, strict=True):
+            if runs is None:
+                out.append(self._encode(text) if text else b"")
+            else:
+                out.append(self._encode(runs[0]) + b"".join([seen[r] for r in runs[1:]]))
+        return out
 
 
 _loaded: dict[str, ByteBpe] = {}
@@ -123,6 +169,18 @@ COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 def _pack_task(size: int, most: int, path: str | None, with_ids: bool):
     def run(batches):
         encode = load(path or default_path())
+
+        def encoded(texts, most=1_000_000):
+            """In groups of about so many characters."""
+            part, size = [], 0
+            for t in texts:
+                part.append(t or "")
+                size += len(part[-1])
+                if size >= most:
+                    yield from (ids + end for ids in encode(part))
+                    part, size = [], 0
+            yield from (ids + end for ids in encode(part))
+
         end, task = END_ID.to_bytes(4, "little"), TaskContext.get().partitionId()
         windows, n, out = Windows(size, most), 0, []
 
@@ -141,8 +199,7 @@ def _pack_task(size: int, most: int, path: str | None, with_ids: bool):
         kind = pa.int64()
         for b in batches:
             kind = b.column(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            for doc, ids in zip(b.column(0).to_pylist(), encoded(b.column(1).to_pylist()), strict=True):
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     part = ids[4 * start : 4 * (start + size)]
