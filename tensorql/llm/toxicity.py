@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 from .gam import bucket
 
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 3_000
 WINDOW, STRIDE = 32, 24
 WORDS, TRIGRAMS, ODDS = 4096, 4096, 1 << 18
 BEGINNINGS = (4, 5, 6)
@@ -58,7 +58,11 @@ class Prepared(NamedTuple):
     begin: np.ndarray
 
 
-def prepare(words: list[str]) -> Prepared:
+def prepare(words: list[str], most: int = 20_000) -> Prepared:
+    if len(words) > most:  # temporary arrays stay small
+        parts = [prepare(words[i : i + most]) for i in range(0, len(words), most)]
+        word, odds, tri, size = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        return Prepared(word, odds, tri, size, np.cumsum(size) - size)
     bare = [w.strip(MARKS) for w in words]
     own = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in bare), np.int64, len(bare))
     length = np.fromiter(map(len, bare), np.int64, len(bare)) + 2
@@ -76,7 +80,7 @@ def prepare(words: list[str]) -> Prepared:
     at = np.repeat(start - begin, size) + np.arange(size.sum())
     pad = np.concatenate([codes, np.zeros(2, np.uint64)])
     tri = (pad[at] * np.uint64(0x9E3779B1) + pad[at + 1] * np.uint64(0x85EBCA77) + pad[at + 2] * np.uint64(0xC2B2AE3D)) >> np.uint64(9)
-    return Prepared(own % WORDS, np.stack(odds, 1) % ODDS, (tri % np.uint64(TRIGRAMS)).astype(np.int64), size, begin)
+    return Prepared(own % WORDS, (np.stack(odds, 1) % ODDS).astype(np.int32), (tri % np.uint64(TRIGRAMS)).astype(np.int32), size, begin)
 
 
 def window_starts(n: int) -> list[int]:
@@ -198,7 +202,7 @@ class Vocabulary:
 def _windows(ids: np.ndarray, pad: int) -> np.ndarray:
     """(WINDOW, number of windows): word numbers, padded at the end."""
     starts = np.array(window_starts(len(ids)))
-    full = np.full(starts[-1] + WINDOW, pad, np.int64)
+    full = np.full(starts[-1] + WINDOW, pad, np.int32)
     full[: len(ids)] = ids
     return full[starts[None, :] + np.arange(WINDOW)[:, None]]
 
@@ -257,11 +261,11 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) ->
         net.constant = float(y.mean()) if len(y) else 0.0
         return net
     rng = np.random.default_rng(seed)
-    split = [words_of(t) for t in texts]
-    vocabulary = {w: k for k, w in enumerate(sorted(set().union(*split)))}
+    vocabulary: dict[str, int] = {}
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
     prepared = prepare(list(vocabulary))
     pad = len(vocabulary)
-    ids = [np.fromiter(map(vocabulary.__getitem__, s), np.int64, len(s)) for s in split]
+    del vocabulary
     sets = [set(prepared.odds[np.unique(i)].ravel().tolist()) for i in ids]
     half = np.arange(len(y)) % 2
     cross = [_odds([s for s, k in zip(sets, half, strict=True) if k != f], y[half != f]) for f in (0, 1)]
@@ -277,10 +281,17 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) ->
         tri = prepared.tri[np.repeat(prepared.begin[which] - begin, size) + np.arange(size.sum())]
         return Prepared(prepared.word[which], prepared.odds[which], tri, size, begin)
 
+    def project(odds: np.ndarray, most: int = 20_000) -> np.ndarray:
+        table = np.zeros((pad + 1, 6 * HIDDEN), np.float32)
+        for i in range(0, pad, most):
+            part = np.arange(i, min(pad, i + most))
+            table[part] = net.projected(net.inputs(some(part), odds))[:-1]
+        return table
+
     def logits(which: np.ndarray) -> list[np.ndarray]:
         out: list = [None] * len(which)
         for f in (0, 1):
-            table = net.projected(net.inputs(prepared, cross[f]))
+            table = project(cross[f])
             own = [k for k, d in enumerate(which) if half[d] == f]
             for at in range(0, len(own), 64):
                 part = own[at : at + 64]
@@ -360,7 +371,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> N
     labels = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     wanted = F.broadcast(labels.orderBy(*order).limit(train_rows))  # at most train_rows ids, so they may go to all
     rows = docs.join(wanted, "doc_id").select("doc_id", "text", "label").orderBy(*order, "text").limit(train_rows).toArrow()
-    return fit([t or "" for t in rows["text"].to_pylist()], rows["label"].to_numpy().astype(np.float64))
+    y = rows["label"].to_numpy().astype(np.float64)
+    texts = [t or "" for t in rows["text"].to_pylist()]
+    del rows
+    return fit(texts, y)
 
 
 def _scores(net: Network):
