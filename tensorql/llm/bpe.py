@@ -25,53 +25,65 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-NONE = (1 << 60, 0)
+NONE = 1 << 62
+SHIFT = 20
 #: Runs that a worker keeps encoded; when full, the table starts anew.
-KEEP = 300_000
+KEEP = 500_000
 
 
-def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merges the leftmost pair of lowest rank until no pair has a rank."""
+def merge(symbols: list[int], ranks: dict[int, int], first: int) -> list[int]:
+    """Merges the leftmost pair of lowest rank until no pair has a rank.
+
+    ranks: of the pair a, b under a << SHIFT | b; the pair of rank r becomes the symbol first + r.
+    """
     n = len(symbols)
     if n < 2:
         return symbols
-    size = 1 << (n - 2).bit_length()  # leaves: pairs 0 .. n - 2
+    size = 1 << (n - 2).bit_length()  # leaves: pairs 0 .. n - 2; each holds rank * n + place
     get = ranks.get
     tree = [NONE] * (2 * size)
-    for k in range(n - 1):
-        r = get((symbols[k], symbols[k + 1]))
+    a, i = symbols[0], size
+    for b in symbols[1:]:
+        r = get(a << SHIFT | b)
         if r is not None:
-            tree[size + k] = (r, k)
-    for k in range(size - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-    symbols = list(symbols)
+            tree[i] = r * n + i - size
+        a = b
+        i += 1
+    for i in range(size - 1, 0, -1):
+        x, y = tree[2 * i], tree[2 * i + 1]
+        tree[i] = x if x < y else y
+    if tree[1] == NONE:
+        return symbols
+    symbols = symbols[:]
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-
-    def put(k: int) -> None:
-        """Leaf k anew from the symbols as they stand."""
-        j = after[k]
-        r = get((symbols[k], symbols[j])) if j < n and symbols[k] is not None else None
-        i = size + k
-        tree[i] = NONE if r is None else (r, k)
-        while i > 1:
-            i //= 2
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
-
-    while tree[1] is not NONE and tree[1] != NONE:
-        k = tree[1][1]
+    while (root := tree[1]) != NONE:
+        r, k = divmod(root, n)
         j = after[k]
-        symbols[k] += symbols[j]
-        symbols[j] = None
-        after[k] = after[j]
-        if after[k] < n:
-            before[after[k]] = k
-        if j < n - 1:
-            put(j)
-        put(k)
-        if before[k] >= 0:
-            put(before[k])
-    return [s for s in symbols if s is not None]
+        symbols[k] = new = first + r
+        symbols[j] = -1
+        after[k] = end = after[j]
+        value = NONE
+        if end < n:
+            before[end] = k
+            if (r := get(new << SHIFT | symbols[end])) is not None:
+                value = r * n + k
+        updates = [(size + k, value)]
+        if j < n - 1:  # the pair that is gone
+            updates.append((size + j, NONE))
+        if (at := before[k]) >= 0:
+            r = get(symbols[at] << SHIFT | new)
+            updates.append((size + at, NONE if r is None else r * n + at))
+        for i, value in updates:
+            while tree[i] != value:
+                tree[i] = value
+                if i == 1:
+                    break
+                other = tree[i ^ 1]
+                if other < value:
+                    value = other
+                i >>= 1
+    return [x for x in symbols if x >= 0]
 
 
 def byte_symbols() -> list[str]:
@@ -90,33 +102,53 @@ class WordBpe:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {k: t for t, k in (self.vocab | self.special).items()}
+        # Symbols: bytes, bytes that end a word, then the merged pairs in the order of their ranks.
+        self.bytes = byte_symbols()
+        self.text = [*self.bytes, *(b + self.end for b in self.bytes)]
+        number = {t: k for k, t in enumerate(self.text)}
+        self.ranks: dict[int, int] = {}
+        for r, m in enumerate(model["merges"]):
+            left, right = m if isinstance(m, list) else m.split(" ")
+            self.ranks.setdefault(number[left] << SHIFT | number[right], r)
+            number.setdefault(left + right, len(self.text))
+            self.text.append(left + right)
+        self.decimal = [str(self.vocab[t]) for t in self.text]
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.bytes = byte_symbols()
         self.seen: dict[str, tuple[str, str, int]] = {}
 
-    def _word(self, word: str) -> list[str]:
-        symbols = [self.bytes[b] for b in word.encode("utf-8")]
-        symbols[-1] += self.end
-        return merge(symbols, self.ranks)
+    def _word(self, word: str) -> list[int]:
+        symbols = list(word.encode("utf-8"))
+        symbols[-1] += 256
+        return merge(symbols, self.ranks, 512)
 
-    def _plain(self, run: str) -> list[str]:
-        lower = "".join(c.lower() for c in unicodedata.normalize("NFC", run))
+    def _lower(self, run: str) -> str:
+        return run.lower() if run.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", run)])
+
+    def _plain(self, run: str) -> list[int]:
+        lower = self._lower(run)
+        if lower.isalpha() and lower.isascii():
+            return self._word(lower)
         return [t for w in self.words.findall(lower) for t in self._word(w)]
 
-    def run_tokens(self, run: str) -> list[str]:
-        """Tokens of a run of characters without white space."""
+    def _strings(self, run: str) -> tuple[list[str], list[str]]:
+        """Ids in decimal and tokens of a run of characters without white space."""
         if "<|" not in run:
-            return self._plain(run)
-        return [t for part in self.cut.split(run) if part for t in ([part] if part in self.special else self._plain(part))]
-
-    def id(self, token: str) -> int:
-        k = self.vocab.get(token)
-        return self.special[token] if k is None else k
+            symbols = self._plain(run)
+            return [self.decimal[s] for s in symbols], [self.text[s] for s in symbols]
+        ids, tokens = [], []
+        for part in self.cut.split(run):
+            if part in self.special:
+                ids.append(str(self.special[part]))
+                tokens.append(part)
+            elif part:
+                symbols = self._plain(part)
+                ids += [self.decimal[s] for s in symbols]
+                tokens += [self.text[s] for s in symbols]
+        return ids, tokens
 
     def runs(self, text: str) -> list[str]:
         if re.search("[\x1c-\x1f]", text):  # str.split() takes these for white space, the file's pattern doesn't
@@ -127,15 +159,24 @@ class WordBpe:
         """Decimal ids joined by a space, tokens joined by a space, their number."""
         found = self.seen.get(run)
         if found is None:
-            tokens = self.run_tokens(run)
-            found = (" ".join(str(self.id(t)) for t in tokens), " ".join(tokens), len(tokens))
+            # Case and a final mark don't make a word new: its letters are looked up on their own.
+            lower = self._lower(run)
+            if lower[-1:] in (".", ",") and lower[:-1].isalpha():
+                ids, tokens, n = self.lookup(lower[:-1])
+                mark = ord(lower[-1]) + 256
+                found = (f"{ids} {self.decimal[mark]}", f"{tokens} {self.text[mark]}", n + 1)
+            elif lower != run and lower.isalpha():
+                found = self.lookup(lower)
+            else:
+                ids, tokens = self._strings(run)
+                found = (" ".join(ids), " ".join(tokens), len(ids))
             if len(self.seen) >= KEEP:
                 self.seen.clear()
             self.seen[run] = found
         return found
 
     def encode(self, text: str) -> list[int]:
-        return [self.id(t) for r in self.runs(text) for t in self.run_tokens(r)]
+        return [int(k) for r in self.runs(text) for k in self._strings(r)[0]]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as the library does for a file that names no decoder."""

@@ -163,13 +163,20 @@ def test_bpe(spark, docs):
 def test_merge_takes_the_leftmost_of_the_lowest_rank():
     rng = random.Random(5)
     for _ in range(300):
-        ranks = {p: k for k, p in enumerate({("".join(rng.choices("ab", k=rng.randint(1, 3))), "".join(rng.choices("ab", k=rng.randint(1, 3)))) for _ in range(12)})}
-        word = rng.choices("ab", k=rng.randint(1, 24))
+        pairs, number = [], 2
+        for r in range(12):
+            pair = rng.randrange(number), rng.randrange(number)
+            pairs.append(pair)
+            number += 1
+        ranks = {}
+        for r, (a, b) in enumerate(pairs):
+            ranks.setdefault(a << bpe.SHIFT | b, r)
+        word = rng.choices([0, 1], k=rng.randint(1, 40))
         want = list(word)
-        while pairs := [(ranks[p], i) for i, p in enumerate(zip(want, want[1:])) if p in ranks]:
-            i = min(pairs)[1]
-            want[i : i + 2] = [want[i] + want[i + 1]]
-        assert bpe.merge(word, ranks) == want
+        while found := [(ranks[a << bpe.SHIFT | b], i) for i, (a, b) in enumerate(zip(want, want[1:])) if a << bpe.SHIFT | b in ranks]:
+            r, i = min(found)
+            want[i : i + 2] = [2 + r]
+        assert bpe.merge(word, ranks, 2) == want
 
 
 def test_round_trip_to_text():
