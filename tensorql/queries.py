@@ -26,7 +26,7 @@ SQL: dict[str, str] = {}
 
 X_SQL = "x as (select cast(vec_id as int) as i, cast(generate_subscripts(embedding, 1) - 1 as int) as j, cast(unnest(embedding) as double) as v from embeddings)"
 S_SQL = (
-    "s as (select cast(l_suppkey as int) - lo as i, l_linenumber - 1 as j, cast(sum(l_quantity) as double) / 100 as v, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / 1000000 as w "
+    "s as (select cast(l_suppkey as int) - lo as i, l_linenumber - 1 as j, cast(sum(l_quantity) as double) / 128 as v, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / 1048576 as w "
     "from lineitem, (select min(s_suppkey) as lo from supplier) group by 1, 2)"
 )
 ROUND = "round({0}, 6) + 0.0"
@@ -43,13 +43,13 @@ def x_tensor(spark: SparkSession, sf: str, dtype: str = "f64") -> Tensor:
 
 
 def s_tensors(spark: SparkSession, sf: str) -> tuple[Tensor, Tensor]:
-    """Quantity (hundreds) and price (millions) by supplier and line number; dense."""
+    """Quantity / 2^7 and price / 2^20 by supplier and line number; dense. Powers of two, so that no value lies on a tie of rounding."""
     line = table(spark, sf, "lineitem")
     low, n = table(spark, sf, "supplier").agg(F.min("s_suppkey"), F.count(F.lit(1))).first()
     place = [(F.col("l_suppkey") - low).cast("int").alias("d0"), (F.col("l_linenumber") - 1).alias("d1")]
     m = line.agg(F.max("l_linenumber")).first()[0]
     make = lambda v, unit: G.input_(T.unique(line.select(*place, v.alias("val")), 2).withColumn("val", F.col("val").cast("double") / unit), (n, m))
-    return make(F.col("l_quantity"), 100.0), make(F.col("l_extendedprice").cast("decimal(18,2)"), 1e6)
+    return make(F.col("l_quantity"), 128.0), make(F.col("l_extendedprice").cast("decimal(18,2)"), 1048576.0)
 
 
 def part_tensor(spark: SparkSession, sf: str) -> Tensor:
