@@ -220,7 +220,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
     Where the text is null or has no secret, it stays as it is.
     """
-    row = F.struct(*(F.col(c) for c in docs.columns))  # carried through the scan: nothing has to be joined back
+    row = F.struct(*(C.col(c) for c in docs.columns))  # carried through the scan: nothing has to be joined back
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row.alias("row"))
     found = _with_spans(own, rules)
     clean = F.expr(

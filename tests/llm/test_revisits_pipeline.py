@@ -65,7 +65,7 @@ def test_every_operator_has_a_query():
 
 
 def test_pipeline(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("fp", F.lit("clash"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("n_removed", F.lit("clash")).withColumn("a.b", F.lit(1))
     extra = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string"))
     docs = docs.unionByName(extra)
     for name, stage in corpus_pipeline.STAGES[:-1]:
