@@ -409,7 +409,9 @@ def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", threshold:
         for _, b, s in _scores(sent.value)(batches):
             yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(s < threshold))
 
-    return docs.select("*", F.col(text_col).alias("scored text")).mapInArrow(run, docs.schema)
+    own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # a name may have a dot, which mapInArrow doesn't take
+    scored = own.withColumn("scored", F.col(f"c{docs.columns.index(text_col)}"))
+    return scored.mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
