@@ -50,6 +50,14 @@ MORE = (
     Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[A-Za-z0-9._%+-]{1,64}:[^ \t\r\n/@:]{3,128}@"),
 )
 RULES = BASE + MORE
+#: What redaction takes of a private key: all up to its END line; without one, the lines of base64 that follow the header.
+_GAP = r"(?:\s|\\[nr])++"
+PEM_BLOCK = Rule(
+    "pem",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}[A-Za-z0-9+/=]{{40,}}+)*+(?:{_GAP}[A-Za-z0-9+/=]++(?=\s*$))?+)",
+)
+REDACTED = tuple(PEM_BLOCK if r.kind == "pem" else r for r in RULES)
 
 #: A query: all of its clauses hold; a clause holds if all trigrams of one of its sets occur.
 Query = list[frozenset[frozenset[str]]]
@@ -215,7 +223,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = REDACTED, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret in the text replaced by a mark; overlapping spans become one mark. No row is dropped.
 
     Where the text is null or has no secret, it stays as it is.
