@@ -523,6 +523,22 @@ def attention_small(spark, sf):
     return result(spark, nn.attention(x, w, nn.causal_mask(48, "f64"))[0].squeeze(0))
 
 
+@query(f"with {X_SQL}, s as (select a.i, b.i as t, sum(a.v * b.v) as s from x a join x b on a.i // 16 = b.i // 16 and a.j = b.j where b.i <= a.i group by 1, 2), p as (select i, t, exp(s - max(s) over (partition by i)) as e from s), n as (select i, t, e / sum(e) over (partition by i) as p from p) select n.i, x.j, {r('sum(n.p * x.v)')} from n join x on n.t = x.i group by 1, 2")
+def attention_rows(spark, sf):
+    """Causal attention of all vectors, in rows of 16 positions, with identity projections."""
+    x = x_tensor(spark, sf)
+    n, m = x.shape
+    positions = 16
+    rows = -(-n // positions)
+    df = x.node.p["df"].select(F.expr(f"cast(d0 div {positions} as int)").alias("d0"), (F.col("d0") % positions).alias("d1"), F.col("d1").alias("d2"), "val")
+    full = G.input_(T.densify(df, (rows, positions, m)), (rows, positions, m), "f64")
+    eye = G.ew(S.mul(S.hole(0), S.hole(1)), G.triangle(1, 0, m, m), G.triangle(1, 0, m, m).transpose(0, 1))
+    w = nn.AttentionWeights(*[eye.unsqueeze(1)] * 3, eye.unsqueeze(0))
+    out = Lowering(spark)(nn.attention(full, w, nn.causal_mask(positions, "f64"))[0])
+    out = out.select((F.col("d0") * positions + F.col("d1")).alias("d0"), F.col("d2").alias("d1"), "val")
+    return result(spark, out.where(F.col("d0") < n))
+
+
 @query(f"with {X_SQL}, {W_SQL}, a as (select i, b, sum(x.v * w.v) as v from x join w on x.j = w.a group by 1, 2), l as (select a, b, v from w where b < 4), r as (select a, b, v from w where a < 4), p as (select x.i, l.b, sum(x.v * l.v) as v from x join l on x.j = l.a group by 1, 2), q as (select p.i, r.b, sum(p.v * r.v) as v from p join r on p.b = r.a group by 1, 2) select a.i, a.b as j, {r('a.v + q.v')} from a join q on a.i = q.i and a.b = q.b")
 def lora(spark, sf):
     x = x_tensor(spark, sf)
