@@ -1,0 +1,90 @@
+"""Near copies of documents: sets of five-word shingles of Jaccard similarity 0.8 or more.
+
+Candidates agree in a band of MinHashes; each is verified by the exact similarity of the two
+sets. Documents with equal sets are one node. Buckets are searched as in lines.linked().
+
+Defined results: null or empty text has the empty set, and all such are copies of each other;
+a text of fewer than five words is one shingle. A null id never names a component unless all
+members' ids are null.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import _common as C
+from . import lines as L
+
+WIDTH, SIMILAR = 5, 0.8
+#: A pair of similarity 0.8 agrees in some band with probability 1 - (1 - 0.8^5)^20 = 0.9996.
+BANDS, DEEP = 20, 5
+TURNS = np.random.default_rng(8).integers(0, 1 << 64, BANDS * DEEP, np.uint64)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Distinct hashes of the ASCII-lower-cased shingles, in order."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - WIDTH + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + WIDTH])) for i in range(n)), np.uint64, n))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    if not len(hashes):
+        return []
+    mins = np.array([(hashes ^ t).min() for t in TURNS], "<u8").reshape(BANDS, DEEP)
+    return [xxhash.xxh64_intdigest(m.tobytes(), seed=k) - (1 << 63) for k, m in enumerate(mins)]
+
+
+def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, place (128-bit hash of the set), hashes, bands."""
+    C.ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, len(whole), 256):  # sets stay small in memory
+                b = whole.slice(at, 256)
+                found = [shingles(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0),
+                        pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for h in found], pa.string()),
+                        pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())),
+                        pa.array([bands(h) for h in found], pa.list_(pa.int64())),
+                    ],
+                    ["id", "place", "hashes", "bands"],
+                )
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, place string, hashes array<bigint>, bands array<bigint>")
+
+
+def _search(found: DataFrame) -> DataFrame:
+    none = [F.lit(None).cast("long").alias(c) for c in ("fp", "s0", "s1", "s2")]
+    return found.select(F.struct(*none, "place", F.size("hashes").alias("size")).alias("item"), F.posexplode("bands").alias("t", "key"))
+
+
+def _verified(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    both = candidates.join(found.select(F.col("place").alias("u"), F.col("hashes").alias("a")), "u").join(
+        found.select(F.col("place").alias("v"), F.col("hashes").alias("b")), "v"
+    )
+    shared = both.withColumn("n", F.size(F.array_intersect("a", "b")))
+    return shared.where(F.col("n") >= SIMILAR * (F.size("a") + F.size("b") - F.col("n")) - 1e-9).select("u", "v")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id (least id reachable) for every row of docs."""
+    each, _ = C.materialize(sets(docs, id_col, text_col), "shingles")
+    groups = each.groupBy("place").agg(F.min("id").alias("least_id"), F.first("hashes").alias("hashes"), F.first("bands").alias("bands"))
+    groups, _ = C.materialize(groups, "shingle-sets")
+    roots = L.linked(groups, _search, _verified)
+    rooted = groups.select("place", "least_id").join(roots, F.col("place") == F.col("node"), "left")
+    rooted, _ = C.materialize(rooted.select("place", "least_id", F.coalesce("root", "place").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    of_place = rooted.select("place", "root").join(named, "root").select("place", "component_id")
+    return each.select("id", "place").join(of_place, "place", "left").select(F.col("id").alias("doc_id"), "component_id")
