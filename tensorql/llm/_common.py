@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
+import shutil
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -15,16 +16,23 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver's folder is visible to them."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    """Sends this package to the Python workers, once for each Spark context; executors fetch it from the driver."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tensorql_shipped", False):
+        folder = tempfile.mkdtemp(prefix="tensorql-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(f"{folder}/tensorql", "zip", ROOT, "tensorql"))
+        sc._tensorql_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests on one machine) a folder under /tmp."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder of spark.checkpoint.dir, or the one given to setCheckpointDir. Where neither is set, /tmp, in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints"
 
 
 def col(name: str) -> Column:
@@ -49,6 +57,18 @@ def table_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
+@contextlib.contextmanager
+def _freeing_shuffles(spark: SparkSession):
+    """Spark deletes a query's shuffle files as it ends, instead of when the driver's collector comes round."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes df once into the shared folder and reads it back: lineage ends here, and lost executors lose nothing.
 
@@ -56,7 +76,8 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _freeing_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     atexit.register(discard, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
