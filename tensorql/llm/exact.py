@@ -1,12 +1,13 @@
 """Exact deduplication by deterministic block naming.
 
-Every text is cut into blocks of a fixed number of bytes. Equal blocks meet, sorted, in one
-task and get one integer name; then names of adjacent pairs are named in turn, level by level,
-until each document has one name. Names come from content, not from a hash, so two documents
-have the same (level, name) if and only if their texts are the same bytes.
+Every text is cut into blocks of a fixed number of bytes. Each distinct block gets one integer
+name; then adjacent pairs of names are named in turn, level by level, until each document has
+one name. Two documents have the same (level, name) if and only if their texts are the same
+bytes: blocks are named by their bytes. A 128-bit digest only carries the names back to where
+a block occurs; should two blocks ever share one, naming starts anew with other digests.
 
-Blocks are gathered inside each input batch before the shuffle (one block, the list of its
-places), so a text that holds a third of all rows crosses once per batch, not once per copy.
+Distinct blocks meet, sorted, in one task each; where they occur is a row each, which the joins
+that bring names back may split where a block or a pair is hot. No list of places is gathered.
 
 Defined results: null text counts as empty; all empty texts are one group. Repeated rows are
 members of their group; a null id never wins against another id.
@@ -15,8 +16,11 @@ members of their group; a null id never wins against another id.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from itertools import count
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,37 +32,64 @@ BLOCK = 4096
 TASK = 1 << 36
 
 
-def _cut(width: int):
+def _blocks(text: bytes | None, width: int) -> list[bytes]:
+    return [text[k : k + width] for k in range(0, len(text), width)] if text else [b""]
+
+
+def _places(width: int, seed: int):
+    """(row, doc, text) to (row, doc, sha, pos, blocks, digest); doc and sha (of the text) at the first block only."""
+
     def run(batches):
         for b in batches:
-            kind = b.column(1).type
-            place = pa.struct([("row", pa.int64()), ("doc", kind), ("sha", pa.string()), ("pos", pa.int32()), ("blocks", pa.int32())])
-            places: dict[bytes, list] = {}
-            texts = b.column(2).cast(pa.binary()).to_pylist()
-            for row, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True):
-                text = text or b""
-                n = max(1, -(-len(text) // width))
-                head = {"row": row, "doc": doc, "sha": hashlib.sha256(text).hexdigest(), "pos": 0, "blocks": n}
-                places.setdefault(text[:width], []).append(head)
-                for k in range(1, n):
-                    places.setdefault(text[k * width : (k + 1) * width], []).append({"row": row, "pos": k, "blocks": n})
+            out: list[list] = [[], [], [], [], [], []]
+            for i, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
+                blocks = _blocks(text, width)
+                for pos, block in enumerate(blocks):
+                    for column, value in zip(out, (i, None if pos else i, None if pos else hashlib.sha256(text or b"").digest(), pos, len(blocks), xxhash.xxh3_128_digest(block, seed)), strict=True):
+                        column.append(value)
+            at, first = pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(places), pa.binary()), pa.array(list(places.values()), pa.list_(place))], ["block", "places"]
+                [b.column(0).take(at), b.column(1).take(first), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary())],
+                ["row", "doc", "sha", "pos", "blocks", "digest"],
             )
 
     return run
 
 
+def _cut(width: int, seed: int):
+    """(text) to the distinct (digest, block) of a batch."""
+
+    def run(batches):
+        for b in batches:
+            found = {block for text in b.column(0).cast(pa.binary()).to_pylist() for block in _blocks(text, width)}
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x, seed) for x in found], pa.binary()), pa.array(list(found), pa.binary())], ["digest", "block"])
+
+    return run
+
+
 def _name(batches):
-    """Names sorted blocks: the number of the task, then the rank within it."""
-    name, last = TaskContext.get().partitionId() * TASK - 1, None
+    """Names blocks sorted by (digest, block): the number of the task, then the rank within it. clash: its digest has another block too."""
+    name, held = TaskContext.get().partitionId() * TASK - 1, []  # held: the distinct blocks of one digest, with their names
     for b in batches:
-        names = []
-        for block in b.column(0).to_pylist():
-            if block != last:
-                name, last = name + 1, block
-            names.append(name)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), b.column(1)], ["name", "places"])
+        out = []
+        for d, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if held and held[-1][:2] == (d, block):
+                continue
+            if held and held[-1][0] != d:
+                out += held
+                held = []
+            name += 1
+            held.append((d, block, name))
+        yield _named(out)
+    yield _named(held)
+
+
+def _named(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
+    digests = [d for d, _, _ in rows]
+    clash = [n for n, d in Counter(digests).items() if d > 1]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(digests, pa.binary()), pa.array([n for _, _, n in rows], pa.int64()), pa.array([d in clash for d in digests], pa.bool_())], ["digest", "name", "clash"]
+    )
 
 
 def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = BLOCK) -> DataFrame:
@@ -66,12 +97,18 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     row numbers the rows of docs, as ids may repeat. The result must be written once before it is used twice.
     """
-    C.ship(docs.sparkSession)
-    place = f"struct<row:long,doc:{docs.schema[id_col].dataType.simpleString()},sha:string,pos:int,blocks:int>"
+    spark = docs.sparkSession
+    C.ship(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    cut = rows.mapInArrow(_cut(width), f"block binary, places array<{place}>")
-    named = cut.repartition("block").sortWithinPartitions("block").mapInArrow(_name, f"name long, places array<{place}>")
-    return named.select("name", F.inline("places")).select("row", "doc", "sha", "pos", "blocks", "name")
+    schema = f"row long, doc {docs.schema[id_col].dataType.simpleString()}, sha binary, pos int, blocks int, digest binary"
+    for seed in count():
+        cut = docs.select(F.col(text_col).alias("text")).mapInArrow(_cut(width, seed), "digest binary, block binary")
+        met = cut.repartition("digest").sortWithinPartitions("digest", "block")
+        names, _ = C.materialize(met.mapInArrow(_name, "digest binary, name long, clash boolean"), "block-names")
+        if names.where("clash").isEmpty():
+            break
+    places, _ = C.materialize(rows.mapInArrow(_places(width, seed), schema), "places")
+    return places.join(names, "digest").select("row", "doc", "sha", "pos", "blocks", "name")
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = BLOCK) -> DataFrame:
@@ -107,16 +144,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of equal texts the row with the largest id stays; of repeated rows with that id, one.
     """
-    ids = identities(docs, id_col, text_col, width)
-    groups = ids.groupBy("level", "name").agg(
-        F.max(F.struct("doc", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")
-    )
-    return ids.join(groups, ["level", "name"]).select(
+    ids, _ = C.materialize(identities(docs, id_col, text_col, width), "identities")
+    groups = ids.groupBy("level", "name").agg(F.max(F.struct("doc", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    groups, _ = C.materialize(groups, "groups")
+    return ids.join(groups, ["level", "name"], "left").select(
         F.col("doc").alias("doc_id"),
-        F.col("keep.doc").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("keep.row")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        F.when(F.col("keep").isNull(), F.col("doc")).otherwise(F.col("keep.doc")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce(F.col("row") == F.col("keep.row"), F.lit(True)).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
