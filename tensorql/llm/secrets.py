@@ -170,19 +170,37 @@ def candidates(index: DataFrame, trigrams: list[str], queries: list[Query]) -> D
     return seen.select("doc_id", rules.alias("rules")).where("rules <> 0")
 
 
+STEP = 64
+
+
+def _steps(array: str) -> str:
+    """SQL: the array in pieces of STEP elements."""
+    return f"transform(sequence(0, int(greatest(size({array}) - 1, 0) div {STEP})), c -> slice({array}, c * {STEP} + 1, {STEP}))"
+
+
 def _spans(text: str, rule: Rule, rank: int) -> Column:
-    """array<struct<start, rank, stop>> of a rule's matches in the column."""
+    """array<struct<start, rank, stop>> of a rule's matches in the column.
+
+    Matches are placed STEP at a time from the start of their step, and the steps one after the
+    other: an array that grows is copied with each addition, so none grows to the number of matches.
+    """
     q = "'" + rule.pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     found, between = f"regexp_extract_all({text}, {q}, 0)", f"split({text}, {q}, -1)"
     tested = found if rule.group == 0 else f"regexp_extract_all({text}, {q}, {rule.group})"
-    zipped = f"transform(arrays_zip({between}, {found}, {tested}), z -> named_struct('gap', z.`0`, 'hit', z.`1`, 'part', z.`2`))"
-    none = "cast(array() as array<struct<start: bigint, rank: int, stop: bigint>>)"
-    at = "s.at + length(x.gap)"
+    zipped = f"transform(arrays_zip({between}, {found}, {tested}), z -> named_struct('gap', length(z.`0`), 'hit', length(z.`1`), 'part', length(z.`2`)))"
+    kind = "array<struct<start: bigint, rank: int, stop: bigint>>"
+    at = "s.at + x.gap"
+    step = (
+        f"aggregate(y, named_struct('at', 0L, 'out', cast(array() as {kind})), (s, x) -> named_struct("
+        f"'at', {at} + coalesce(x.hit, 0), "
+        f"'out', if(x.part >= {rule.least}, concat(s.out, array(named_struct('start', {at}, 'rank', {rank}, 'stop', {at} + x.hit))), s.out)))"
+    )
+    # array(..)[0] names the zipped matches, so that they are found once
     return F.expr(
-        f"aggregate({zipped}, named_struct('at', 0L, 'out', {none}), (s, x) -> named_struct("
-        f"'at', {at} + coalesce(length(x.hit), 0), "
-        f"'out', if(x.hit is not null and length(x.part) >= {rule.least}, "
-        f"concat(s.out, array(named_struct('start', {at}, 'rank', {rank}, 'stop', {at} + length(x.hit)))), s.out)), s -> s.out)"
+        f"flatten(aggregate(transform(transform(array({zipped}), z -> {_steps('z')})[0], y -> {step}), "
+        f"named_struct('at', 0L, 'out', cast(array() as array<{kind}>)), (s, x) -> named_struct("
+        "'at', s.at + x.at, 'out', if(size(x.out) = 0, s.out, concat(s.out, array(transform(x.out, o -> named_struct("
+        "'start', o.start + s.at, 'rank', o.rank, 'stop', o.stop + s.at)))))), s -> s.out))"
     )
 
 
@@ -231,11 +249,22 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     row = F.struct(*(C.col(c) for c in docs.columns))  # carried through the scan: nothing has to be joined back
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row.alias("row"))
     found = _with_spans(own, rules)
-    clean = F.expr(
-        f"aggregate(spans, named_struct('at', 0L, 'out', ''), (s, x) -> if(x.stop <= s.at, s, named_struct('at', x.stop, 'out', "
-        f"concat(s.out, if(x.start < s.at, '', concat(substring(text, int(s.at + 1), int(x.start - s.at)), '{mark}'))))), "
-        "s -> concat(s.out, substring(text, int(s.at + 1), length(text))))"
+    # As above by steps of spans, each with its own stretch of text: from its first span (the first step: from the beginning)
+    # to the next step's. `most` are the furthest ends of the steps.
+    steps = (
+        f"transform({_steps('spans')}, (p, c) -> named_struct('part', p, 'c', c, 'lo', if(c = 0, 0L, p[0].start), "
+        f"'hi', coalesce(get(spans, (c + 1) * {STEP}).start, length(text))))"
+    )
+    most = f"transform({_steps('spans')}, p -> array_max(transform(p, x -> x.stop)))"
+    piece = (
+        "aggregate(y.part, named_struct('at', greatest(y.lo, coalesce(array_max(slice(most, 1, y.c)), 0L)), 'out', ''), (s, x) -> if(x.stop <= s.at, s, "
+        "named_struct('at', x.stop, 'out', concat(s.out, if(x.start < s.at, '', "
+        f"concat(substring(y.own, int(s.at - y.lo + 1), int(x.start - s.at)), '{mark}'))))), "
+        "s -> concat(s.out, if(s.at < y.hi, substring(y.own, int(s.at - y.lo + 1), int(y.hi - s.at)), '')))"
     )
+    found = found.withColumn("most", F.when(F.size("spans") > 0, F.expr(most)))
+    with_text = f"transform({steps}, y -> named_struct('part', y.part, 'c', y.c, 'lo', y.lo, 'hi', y.hi, 'own', substring(text, int(y.lo + 1), int(y.hi - y.lo))))"
+    clean = F.expr(f"array_join(transform({with_text}, y -> {piece}), '')")
     text = F.when(F.size("spans") > 0, clean).otherwise(F.col("row").getField(text_col))
     return found.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 

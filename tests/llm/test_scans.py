@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,17 @@ def test_spans(docs):
         assert [(x["start"], x["rank"], x["stop"]) for x in r["spans"]] == plain(r["text"])
 
 
+def test_many_matches(spark):
+    """Time grows with the matches of a text, not with their square."""
+    text = "é password=abcdefgh0123 " * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = secrets.scan(df).first()["spans"]
+    assert [(x["start"], x["stop"]) for x in got] == [(24 * k + 2, 24 * k + 23) for k in range(20_000)]
+    assert secrets.redact(df).first()["text"] == "é [SECRET] " * 20_000
+    assert time.time() - began < 60
+
+
 def test_query(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = secrets.op9_secret_scans(spark, sf).collect()
