@@ -10,18 +10,20 @@ records are cut into buckets of time, the last response of each bucket is one ag
 and only those rows are ordered for a whole URL; the records of a bucket are ordered within it.
 A URL so busy that one bucket is large calls for a smaller `bucket`.
 
-Defined results: a null or unreadable URL is a URL of its own text, null the empty one. A
-revisit without an earlier response is 'unresolved'; with validators that differ, 'changed';
-without validators at all, 'unchecked' (it takes the body, as there is nothing to hold against
-it); else 'resolved'. A null date is before all others. Responses at the same second as the
-revisit count as earlier if their record id is smaller. Repeated rows are repeated in the
-result. Other columns are not read.
+Defined results: a full response is one of status 200; where the status is null or there is no
+such column, any response. An unreadable URL is a URL of its own text; a revisit without a URL
+is 'unresolved', and a response without one answers nothing. A revisit without an earlier full
+response is 'unresolved'; with validators that differ, 'changed'; without validators on both
+sides, 'unchecked' (it takes the body, as there is nothing to hold against it); else 'resolved'.
+A null date is before all others. Responses at the same second as the revisit count as earlier
+if their record id is smaller (null is the smallest). Of responses with the same date and id
+the one that was numbered last answers, with its own headers and body. Repeated rows are
+repeated in the result. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
+import datetime
 import re
 from collections.abc import Iterator
 
@@ -51,26 +53,30 @@ def canonical(url: str) -> Column:
 
 
 def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """records: record_id, kind ('response' or 'revisit'), url, date (seconds, long), headers map<string, string> (lower-case names), payload.
+    """records: record_id, kind ('response' or 'revisit'), url, date (seconds, long), headers map<string, string> (lower-case names), payload, and maybe status (int).
 
     One row per revisit: record_id, canonical_url, response_id, state, headers (merged), payload.
     """
     at = F.coalesce("date", F.lit(-(1 << 60)).cast("long"))
-    own = records.select(
-        "record_id", "kind", canonical("url").alias("canonical_url"), at.alias("at"), F.expr(f"coalesce(date, 0) div {bucket}").alias("slot"), "headers"
+    status = F.col("status") if "status" in records.columns else F.lit(None)
+    full = (F.col("kind") == "response") & F.coalesce(status == 200, F.lit(True))
+    own = records.where(full | (F.col("kind") == "revisit")).select(
+        "record_id", "kind", canonical("url").alias("canonical_url"), at.alias("at"), "headers", "payload", F.monotonically_increasing_id().alias("row")
     )
     own, _ = C.materialize(own, "captures")
-    full = F.when(F.col("kind") == "response", F.struct("at", "record_id"))
-    order = (F.col("at"), F.col("record_id"))
+    narrow = own.where("canonical_url <> ''").select(
+        "row", "record_id", "kind", "canonical_url", "at", F.expr(f"(at - pmod(at, {bucket})) div {bucket}").alias("slot"),
+        F.when(F.col("kind") == "response", F.struct("at", "record_id", "row")).alias("full"),
+    )
     # The last response of each bucket, and by that the last one of all buckets before it.
-    slots = own.groupBy("canonical_url", "slot").agg(F.max(full).alias("last"))
+    slots = narrow.groupBy("canonical_url", "slot").agg(F.max("full").alias("last"))
     before = Window.partitionBy("canonical_url").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select("canonical_url", "slot", F.max("last").over(before).alias("earlier"))
-    within = Window.partitionBy("canonical_url", "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    found = own.withColumn("here", F.max(full).over(within)).where("kind = 'revisit'").join(slots, ["canonical_url", "slot"])
-    found = found.withColumn("response_id", F.coalesce("here.record_id", "earlier.record_id"))
-    responses = own.where("kind = 'response'").groupBy(F.col("record_id").alias("response_id")).agg(F.first("headers").alias("stored"))
-    joined = found.join(responses, "response_id", "left")
+    within = Window.partitionBy("canonical_url", "slot").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = narrow.withColumn("here", F.max("full").over(within)).where("kind = 'revisit'").join(slots, ["canonical_url", "slot"])
+    found = found.select("row", F.coalesce("here", "earlier").alias("of")).where("of is not null").select("row", F.col("of.row").alias("of"))
+    stored = own.select(F.col("row").alias("of"), F.col("record_id").alias("response_id"), F.col("headers").alias("stored"))
+    joined = own.where("kind = 'revisit'").drop("kind", "at", "payload").join(found.join(stored, "of"), "row", "left")
     field = lambda c, k: F.coalesce(F.col(c), F.create_map().cast("map<string,string>"))[k]
     weak = lambda c: F.regexp_replace(field(c, "etag"), "^W/", "")
     tag = F.when(field("headers", "etag").isNotNull() & field("stored", "etag").isNotNull(), weak("headers") == weak("stored"))
@@ -78,9 +84,7 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
         field("headers", "last-modified").isNotNull() & field("stored", "last-modified").isNotNull(), field("headers", "last-modified") == field("stored", "last-modified")
     )
     agree = F.coalesce(tag, day)  # the ETag is the stronger validator
-    state = (
-        F.when(F.col("response_id").isNull(), "unresolved").when(agree.isNull(), "unchecked").when(agree, "resolved").otherwise("changed")
-    )
+    state = F.when(F.col("of").isNull(), "unresolved").when(agree.isNull(), "unchecked").when(agree, "resolved").otherwise("changed")
     taken = F.col("state").isin("resolved", "unchecked")
     permitted = "array(" + ", ".join(f"'{k}'" for k in PERMITTED) + ")"
     merged = F.expr(
@@ -88,52 +92,93 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
         f"map_filter(coalesce(headers, map()), (k, v) -> array_contains({permitted}, k))))))"
     )
     out = joined.withColumn("state", state).select(
-        "record_id", "canonical_url", "response_id", "state", F.when(taken, merged).otherwise(F.col("headers")).alias("headers"), F.when(taken, F.col("response_id")).alias("body_of")
+        "record_id", "canonical_url", "response_id", "state", F.when(taken, merged).otherwise(F.col("headers")).alias("headers"), F.when(taken, F.col("of")).alias("body_of")
     )
-    bodies = records.where("kind = 'response'").groupBy(F.col("record_id").alias("body_of")).agg(F.first("payload").alias("payload"))
+    bodies = own.where("kind = 'response'").select(F.col("row").alias("body_of"), "payload")
     return out.join(bodies, "body_of", "left").drop("body_of")
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of a WARC file, plain or gzip by record: named fields in lower case, block."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        fields: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[name.strip().lower()] = value.strip()
-        yield fields, stream.read(int(fields.get("content-length", "0")))
+#: Records of a file end with two line breaks; what follows is the next one's version.
+BETWEEN = "\r\n\r\nWARC/1."
+
 
+def records_of(chunks: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(file, what lies between two separators), in order, to (named fields in lower case, block).
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records that resolve() takes, from WARC files under a path. A file is one task; record ids are WARC-Record-ID."""
+    A block that has the separator in it is put together by its length. A record that its file
+    ends in, or whose length is no number, is left out.
+    """
+    held, of = b"", None
+    for file, chunk in chunks:
+        held = held + BETWEEN.encode() + chunk if held and file == of else chunk.removeprefix(b"WARC/1.")
+        of = file
+        head, _, block = held.partition(b"\r\n\r\n")
+        fields = _fields(head)
+        length = fields.get("content-length", "")
+        if not length.isdecimal():
+            held = b""
+        elif len(block) >= int(length):
+            yield fields, block[: int(length)]
+            held = b""
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Named fields after the first line, in lower case; values of a repeated name are one list."""
+    out: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            name = name.strip().lower()
+            out[name] = f"{out[name]}, {value.strip()}" if name in out else value.strip()
+    return out
+
+
+def _record(fields: dict[str, str], block: bytes) -> tuple | None:
+    """What resolve() takes. A revisit by payload digest is of kind 'digest': it is no answer of a server."""
+    kind = fields.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
+    head, _, body = block.partition(b"\r\n\r\n")
+    status = re.match(rb"HTTP/\S+ +(\d{3})", head)
+    status = int(status[1]) if status else None
+    if kind == "revisit" and not ("not-modified" in fields["warc-profile"] if "warc-profile" in fields else status == 304):
+        kind = "digest"
+    try:
+        date = int(datetime.datetime.fromisoformat(fields["warc-date"].replace("Z", "+00:00")).timestamp())
+    except (KeyError, ValueError, OverflowError):
+        date = None
+    url = re.sub("^<|>$", "", fields.get("warc-target-uri", ""))
+    return fields.get("warc-record-id"), kind, url, date, list(_fields(head).items()), body if kind == "response" else None, status
+
+
+def read_warc(spark: SparkSession, path: str, most: int = 16 << 20) -> DataFrame:
+    """The records that resolve() takes, from WARC files under a path, plain or gzip by record. Record ids are WARC-Record-ID.
+
+    Files are read as streams, plain ones in splits; a batch has records of about `most` bytes.
+    What can be read of a damaged file is.
+    """
     C.ship(spark)
-    schema = "record_id string, kind string, url string, date long, headers map<string,string>, payload binary"
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.int32()]
+    names = ["record_id", "kind", "url", "date", "headers", "payload", "status"]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches):
-        import datetime
-
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                rows = []
-                for fields, block in parse_warc(data or b""):
-                    if fields.get("warc-type") not in ("response", "revisit"):
-                        continue
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    headers = [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]) if k]
-                    try:
-                        date = int(datetime.datetime.fromisoformat(fields["warc-date"].replace("Z", "+00:00")).timestamp())
-                    except (KeyError, ValueError):
-                        date = None
-                    url = re.sub("^<|>$", "", fields.get("warc-target-uri", ""))
-                    rows.append((fields.get("warc-record-id"), fields["warc-type"], url, date, list(dict(headers).items()), body if fields["warc-type"] == "response" else None))
-                kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["record_id", "kind", "url", "date", "headers", "payload"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+        rows, size = [], 0
+        for fields, block in records_of(pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            if row := _record(fields, block):
+                rows.append(row)
+                size += len(block)
+            if size >= most:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    chunks = spark.read.option("lineSep", BETWEEN).option("ignoreCorruptFiles", "true").text(path)
+    chunks = chunks.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("chunk"))
+    return chunks.mapInArrow(run, "record_id string, kind string, url string, date long, headers map<string,string>, payload binary, status int")
 
 
 #: The tables have pages, not captures. Every page stands for a response, and for a later revisit of its URL.
@@ -185,9 +230,9 @@ with p as (
     then scheme || '://' || host || path || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end else whole end as url from c
 ), j as (
   select r.page_id * 2 + 1 as record_id, r.url as canonical_url, r.tag as own_tag, r.page_id as own, s.page_id as found, s.tag, s.html
-  from k r asof join k s on r.url = s.url and r.page_id * 3600 + {HOURS} * 3600 + 1 > s.page_id * 3600
+  from k r asof left join k s on r.url = s.url and s.url <> '' and r.page_id * 3600 + {HOURS} * 3600 + 1 > s.page_id * 3600
 )
-select record_id, canonical_url, found * 2 as response_id, case when tag = own_tag then 'resolved' else 'changed' end as state,
+select record_id, canonical_url, found * 2 as response_id, case when found is null then 'unresolved' when tag = own_tag then 'resolved' else 'changed' end as state,
   cast(own * 3600 + {HOURS} * 3600 + 1 as varchar) as date,
   case when tag = own_tag then cast(length(html) as varchar) else '0' end as content_length,
   'W/' || own_tag as etag, case when tag = own_tag then sha256(html) end as payload_sha256

@@ -1,6 +1,7 @@
 """Revisit resolution against a plain version and its SQL; WARC files; the pipeline's stages."""
 
 import gzip
+import random
 
 import duckdb
 import pytest
@@ -17,7 +18,7 @@ R = [
     (4, "revisit", "http://a.com/x?a=1&b=2", 300_000, {"etag": '"v1"'}, None),
     (5, "revisit", "http://a.com/x?a=1&b=2", 50, {"etag": '"v1"'}, None),
     (6, "revisit", "http://a.com/x?a=1&b=2", 300_001, None, None),
-    (7, "response", None, None, None, None),
+    (7, "response", None, None, None, "none"),
     (8, "revisit", None, 5, {"last-modified": "m"}, None),
     (9, "response", "http://b.org", 10, {"last-modified": "m"}, "bee"),
     (10, "revisit", "http://b.org/", 10, {"last-modified": "m", "server": "s"}, None),
@@ -30,7 +31,7 @@ def test_resolve(spark, bucket):
     df = spark.createDataFrame(R, SCHEMA).withColumn("state", F.lit("clash")).repartition(3)
     got = sorted(((r["record_id"], r["response_id"], r["state"], r["payload"]) for r in revisits.resolve(df, bucket).collect()), key=lambda x: x[0])
     assert got == [
-        (2, 1, "resolved", "one"), (4, 3, "changed", None), (5, None, "unresolved", None), (6, 3, "unchecked", "two"), (8, 7, "unchecked", None),
+        (2, 1, "resolved", "one"), (4, 3, "changed", None), (5, None, "unresolved", None), (6, 3, "unchecked", "two"), (8, None, "unresolved", None),
         (10, 9, "resolved", "bee"), (10, 9, "resolved", "bee"),
     ]
     one = revisits.resolve(df, bucket).where("record_id = 2").first()
@@ -38,6 +39,51 @@ def test_resolve(spark, bucket):
     assert revisits.resolve(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [1000, revisits.BUCKET])
+def test_null_ids_dates_and_partial_responses(spark, bucket):
+    """A response without an id answers; null dates are before all, negative ones too; only status 200 is a full response; a repeated id keeps headers and body together."""
+    rows = [
+        (1, "response", "http://a/", 10, {"etag": "1"}, "old", 200),
+        (None, "response", "http://a/", 20, {"etag": "2"}, "new", None),
+        (2, "revisit", "http://a/", 30, {"etag": "2"}, None, 304),
+        (3, "response", "http://b/", -200_000, {"etag": "b"}, "b", 200),
+        (4, "revisit", "http://b/", None, {"etag": "b"}, None, 304),
+        (5, "response", "http://c/", None, {"etag": "c"}, "c", 200),
+        (6, "revisit", "http://c/", -300_000, {"etag": "c"}, None, 304),
+        (7, "response", "http://c/", -250_000, {"etag": "c"}, "gone", 404),
+        (8, "revisit", "http://c/", -200_000, {"etag": "c"}, None, 304),
+        (9, "response", "http://d/", 5, {"etag": "d1"}, "d1", 200),
+        (9, "response", "http://d/", 5, {"etag": "d2"}, "d2", 200),
+        (10, "revisit", "http://d/", 6, {"server": "s"}, None, 304),
+        (11, "revisit", "", 9, {"etag": "d1"}, None, 304),
+        (12, "digest", "http://d/", 9, {"etag": "d1"}, None, 304),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA + ", status int").repartition(2)
+    got = {r["record_id"]: (r["response_id"], r["state"], r["payload"], (r["headers"] or {}).get("etag")) for r in revisits.resolve(df, bucket).collect()}
+    assert got.pop(10) in ((9, "unchecked", "d1", "d1"), (9, "unchecked", "d2", "d2"))
+    assert got == {
+        2: (None, "resolved", "new", "2"), 4: (None, "unresolved", None, "b"), 6: (5, "resolved", "c", "c"), 8: (5, "resolved", "c", "c"), 11: (None, "unresolved", None, "d1"),
+    }
+
+
+def test_damaged_warc_files(spark, tmp_path):
+    def record(kind, rid, http, length=None, more=""):
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {rid}\r\nWARC-Target-URI: <http://x.org/{rid}>\r\n{more}Content-Length: {len(http) if length is None else length}\r\n\r\n"
+        return head.encode() + http + b"\r\n\r\n"
+
+    tricky = b"HTTP/1.1 200 OK\r\nVary: a\r\nVary: b\r\n\r\nhas\r\n\r\nWARC/1.0\r\nin it, and \xff\x00 bytes"
+    plain = record("response", "one", tricky) + record("response", "bad", b"x", "abc") + record("revisit", "same", b"", more="WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")
+    plain += record("response", "two", b"HTTP/1.1 404 Not Found\r\n\r\nno") + record("response", "cut", b"HTTP/1.1 200 OK\r\n\r\nshort", 5000)
+    (tmp_path / "a.warc").write_bytes(plain)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    whole = gzip.compress(record("response", "three", b"HTTP/1.1 200 OK\r\n\r\nyes"))
+    (tmp_path / "b.warc.gz").write_bytes(whole + gzip.compress(record("response", "four", random.randbytes(50_000)))[:20_000])
+    got = {r["record_id"]: r for r in revisits.read_warc(spark, str(tmp_path)).collect()}
+    assert {"one", "same", "two", "three"} <= got.keys() <= {"one", "same", "two", "three"}
+    assert bytes(got["one"]["payload"]) == tricky.partition(b"\r\n\r\n")[2] and got["one"]["headers"] == {"vary": "a, b"}
+    assert (got["same"]["kind"], got["two"]["status"], got["three"]["status"], got["one"]["url"]) == ("digest", 404, 200, "http://x.org/one")
+
+
 def test_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from read_parquet('{sf}/pages.parquet')")
