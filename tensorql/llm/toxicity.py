@@ -39,8 +39,10 @@ INPUTS = 14
 DIM, HIDDEN = 6, 8
 EPOCHS, BATCH, RATE = 6, 256, 0.01
 THRESHOLD = 0.3
-#: Words that a worker keeps prepared; when full, the table starts anew.
-KEEP = 200_000
+#: Words that a worker keeps prepared, 192 bytes each besides the word; when full, the table starts anew.
+KEEP = 60_000
+#: Characters of texts that are taken together.
+GROUP = 200_000
 MARKS = "".join(c for c in map(chr, range(33, 256)) if not c.isalnum())
 
 
@@ -184,19 +186,23 @@ class Network:
 
 
 class Vocabulary:
-    """Numbers of words, with their projected inputs; for scoring."""
+    """Numbers of words, with their projected inputs; for scoring. Row -1 is padding. When full, the table starts anew."""
 
     def __init__(self, net: Network):
-        self.net, self.place, self.rows = net, {}, net.projected(np.zeros((0, INPUTS), np.float32))
+        self.net, self.place = net, {}
+        self.rows = np.zeros((KEEP + 1, 6 * HIDDEN), np.float32)
 
     def add(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.place]
         if len(self.place) + len(new) > KEEP:
-            self.place, self.rows, new = {}, self.rows[-1:], list(words)
-        if new:
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            parts = [self.net.projected(self.net.inputs(prepare(new[i : i + 20_000])))[:-1] for i in range(0, len(new), 20_000)]
-            self.rows = np.concatenate([self.rows[:-1], *parts, self.rows[-1:]])
+            self.place, new = {}, list(words)
+            size = max(KEEP, len(new)) + 1  # one text alone may have more
+            if size != len(self.rows):
+                self.rows = np.zeros((size, 6 * HIDDEN), np.float32)
+        for i in range(0, len(new), 5_000):
+            part, at = new[i : i + 5_000], len(self.place)
+            self.rows[at : at + len(part)] = self.net.projected(self.net.inputs(prepare(part)))[:-1]
+            self.place.update(zip(part, range(at, at + len(part)), strict=True))
 
 
 def _windows(ids: np.ndarray, pad: int) -> np.ndarray:
@@ -207,39 +213,26 @@ def _windows(ids: np.ndarray, pad: int) -> np.ndarray:
     return full[starts[None, :] + np.arange(WINDOW)[:, None]]
 
 
-def score_texts(net: Network, vocabulary: Vocabulary, texts: list[str], most: int = 8192) -> np.ndarray:
-    """Scores of whole texts."""
+def score_texts(net: Network, vocabulary: Vocabulary, texts: list[str], most: int = 2048) -> np.ndarray:
+    """Scores of whole texts. Words are split and windows are held for some texts at a time."""
     if net.constant is not None:
         return np.full(len(texts), net.constant)
-    best, count = np.full(len(texts), -np.inf), np.zeros(len(texts))
-    held, owner, n = [], [], 0
-
-    def flush() -> None:
-        nonlocal held, owner, n
-        ids = np.concatenate(held, 1)
-        for k in range(0, ids.shape[1], most):
-            np.maximum.at(best, np.concatenate(owner)[k : k + most], net.forward(vocabulary.rows[ids[:, k : k + most]]))
-        held, owner, n = [], [], 0
-
-    split = [words_of(t) for t in texts]
-    for first in range(0, len(split), 64):  # a group's words fit the table, unless one text alone has more
-        part = split[first : first + 64]
-        before = vocabulary.place
-        need = set().union(*part)
-        if held and len(before) + len(need) > KEEP:
-            flush()
-        vocabulary.add(need)
-        for i, words in enumerate(part, first):
+    best = np.full(len(texts), -np.inf)
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        group.append(i)
+        size += len(text)
+        if size >= GROUP or i == len(texts) - 1:
+            split = [words_of(texts[k]) for k in group]
+            vocabulary.add(set().union(*split))
             place = vocabulary.place
-            ids = _windows(np.fromiter(map(place.__getitem__, words), np.int64, len(words)), -1)
-            held.append(ids)
-            owner.append(np.full(ids.shape[1], i))
-            count[i] = ids.shape[1]
-            n += ids.shape[1]
-        if n >= most:
-            flush()
-    if held:
-        flush()
+            held = [_windows(np.fromiter(map(place.__getitem__, words), np.int32, len(words)), -1) for words in split]
+            owner = np.repeat(group, [w.shape[1] for w in held])
+            del split
+            ids = np.concatenate(held, 1)
+            for k in range(0, len(owner), most):
+                np.maximum.at(best, owner[k : k + most], net.forward(vocabulary.rows[ids[:, k : k + most]]))
+            group, size = [], 0
     return _sigmoid(net.slope[0] * best + net.slope[1])
 
 
@@ -377,12 +370,15 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> N
     return fit(texts, y)
 
 
-def _scores(net: Network):
+def _scores(net: Network, column: int):
+    """Of Arrow batches: pieces of them, with the scores of the texts in a column."""
+
     def run(batches):
         vocabulary = Vocabulary(net)
-        for b in batches:
-            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
-            yield vocabulary, b, score_texts(net, vocabulary, texts) if texts else np.zeros(0)
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                b = whole.slice(at, 256)
+                yield b, score_texts(net, vocabulary, [t or "" for t in b.column(column).to_pylist()])
 
     return run
 
@@ -394,7 +390,7 @@ def toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     sent = docs.sparkSession.sparkContext.broadcast(net)  # fixed size: the tables' sizes are constants
 
     def run(batches):
-        for _, b, s in _scores(sent.value)(batches):
+        for b, s in _scores(sent.value, 1)(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     return own.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
@@ -406,12 +402,12 @@ def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", threshold:
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        for _, b, s in _scores(sent.value)(batches):
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(s < threshold))
+        for b, s in _scores(sent.value, column)(batches):
+            yield b.filter(pa.array(s < threshold))
 
+    column = docs.columns.index(text_col)
     own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # a name may have a dot, which mapInArrow doesn't take
-    scored = own.withColumn("scored", F.col(f"c{docs.columns.index(text_col)}"))
-    return scored.mapInArrow(run, own.schema).toDF(*docs.columns)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from tensorql.llm import shingles
+from tensorql.llm import simhash
 
 from .test_dedup_pack_encode import components
 
@@ -28,6 +28,17 @@ def test_near_copies(spark):
     near = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = components(sets, near)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in shingles.near_copies(df).collect()} == want
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()} == want
     kept = {r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, df, "").collect()}
     assert kept == {d for d, c in want.items() if d == c}
+
+
+def test_odd_tables(spark):
+    """Null ids, repeated rows, names that clash or have dots, no rows."""
+    a, b = " ".join(map(str, range(100))), " ".join(map(str, range(100, 200)))
+    rows = [(None, a), (None, a), (7, a), (7, a), (8, b), (9, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "1 as row", "text", "2 as `a.b`", "'x' as place")
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(7, a), (8, b), (9, None)]
+    assert simhash.drop_near_copies(df.where("false")).count() == 0
