@@ -41,6 +41,15 @@ def choose_block(shape: tuple[int, ...], most: int = 1 << 16) -> tuple[int, ...]
     return tuple(block)
 
 
+def choose_blocks(spec: Spec, sizes: dict[str, int], most: int = 1 << 15) -> dict[str, int]:
+    """Of each label; the longest is halved until no block of a term or of the result has more values."""
+    block = {c: sizes[c] for c in spec.labels}
+    while longest := [t for t in (*spec.terms, spec.out) if prod(block[c] for c in t) > most]:
+        c = max(longest[0], key=block.__getitem__)
+        block[c] = ceil(block[c] / 2)
+    return block
+
+
 def spans(total: int, parts: int) -> list[int]:
     """Sizes of parts that differ by one at most, the larger ones later."""
     return [total * (k + 1) // parts - total * k // parts for k in range(parts)]
@@ -74,12 +83,13 @@ def reblock(x: Blocked, block: tuple[int, ...]) -> Blocked:
     return x if tuple(block) == x.block else to_blocks(from_blocks(x), x.shape, block)
 
 
-def contract(spec: str, a: Blocked, b: Blocked) -> Blocked:
+def contract(spec: str | Spec, a: Blocked, b: Blocked, held: int = 1 << 22) -> Blocked:
     """Sum of products over blocks: join on shared block labels, multiply block by block, add up block by block.
 
-    Pairs of blocks are shuffled and sorted by output block; a task holds one pair and one running sum.
+    Each task adds up what it multiplies, holding partial sums of `held` values at most, so that
+    only sums are shuffled to their output block. There they are added in the order of the rows.
     """
-    s = Spec.parse(spec)
+    s = Spec.parse(spec) if isinstance(spec, str) else spec
     sizes = s.sizes([a.shape, b.shape])
     block = {}
     for t, x in zip(s.terms, (a, b), strict=True):
@@ -91,38 +101,56 @@ def contract(spec: str, a: Blocked, b: Blocked) -> Blocked:
     left, right = side(a, s.terms[0], "x"), side(b, s.terms[1], "y")
     on = [name[c] for c in s.terms[0] if c in s.terms[1]]
     pairs = left.join(right, on) if on else left.crossJoin(right)
-    labels, out = s.labels, [name[c] for c in s.out]
-    cols = [name[c] for c in labels]
-    extent = lambda t, at: tuple(min(block[c], sizes[c] - at[c] * block[c]) for c in t)
-
-    def run(batches):
-        key, total = None, None
-
-        def row():
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array([k], pa.int32()) for k in key), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], [*(f"b{k}" for k in range(len(key))), "blk"]
-            )
-
+    labels, terms, target, rank = s.labels, s.terms, s.out, len(s.out)  # plain strings: workers may not have this package
+    out = [f"b{k}" for k in range(rank)]
+    letter = {c: chr(97 + k) for k, c in enumerate(labels)}  # einsum takes letters only
+    pattern = f"{''.join(letter[c] for c in terms[0])},{''.join(letter[c] for c in terms[1])}->{''.join(letter[c] for c in s.out)}"
+    fields = [*out, "blk"]
+
+    def rows(sums):
+        keys = [pa.array([k[i] for k in sums], pa.int32()) for i in range(rank)]
+        offsets = np.cumsum([0, *(v.size for v in sums.values())]).astype(np.int32)
+        flat = np.concatenate([v.ravel() for v in sums.values()])
+        return pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], fields)
+
+    def multiply(batches):
+        sums, size = {}, 0
         for batch in batches:
-            at_cols = [batch[c].to_pylist() for c in cols]
+            places = list(zip(*(batch[name[c]].to_pylist() for c in labels), strict=True))
             xs, ys = batch["x"], batch["y"]
-            for i, at in enumerate(zip(*at_cols, strict=True)):
+            for i, at in enumerate(places):
                 place = dict(zip(labels, at, strict=True))
-                x = xs[i].values.to_numpy().reshape(extent(s.terms[0], place))
-                y = ys[i].values.to_numpy().reshape(extent(s.terms[1], place))
-                part = np.einsum(f"{s.terms[0]},{s.terms[1]}->{s.out}", x, y, optimize=True)
-                this = at[: len(s.out)]
+                shape = lambda t: tuple(min(block[c], sizes[c] - place[c] * block[c]) for c in t)  # noqa: E731, B023
+                x = xs[i].values.to_numpy().reshape(shape(terms[0]))
+                y = ys[i].values.to_numpy().reshape(shape(terms[1]))
+                part = np.einsum(pattern, x, y, optimize=True)
+                key = tuple(place[c] for c in target)
+                if key in sums:
+                    sums[key] = sums[key] + part
+                else:
+                    sums[key] = part
+                    size += part.size
+                if size >= held:
+                    yield rows(sums)
+                    sums, size = {}, 0
+        if sums:
+            yield rows(sums)
+
+    def add(batches):
+        key, total = None, None
+        for batch in batches:
+            for i, this in enumerate(zip(*(batch[c].to_pylist() for c in out), strict=True)):
+                part = batch["blk"][i].values.to_numpy()
                 if this != key:
                     if key is not None:
-                        yield row()
+                        yield rows({key: total})
                     key, total = this, part
                 else:
                     total = total + part
         if key is not None:
-            yield row()
+            yield rows({key: total})
 
-    schema = ", ".join(f"b{k} int" for k in range(len(s.out))) + ", blk array<double>"
-    summed = pairs.select(*cols, "x", "y").repartition(*out).sortWithinPartitions(*cols).mapInArrow(run, schema)
+    schema = ", ".join(f"{c} int" for c in out) + ", blk array<double>"
+    partial = pairs.select(*(name[c] for c in labels), "x", "y").mapInArrow(multiply, schema)
+    summed = partial.repartition(*out).sortWithinPartitions(*out).mapInArrow(add, schema)
     return Blocked(summed, tuple(sizes[c] for c in s.out), tuple(block[c] for c in s.out))
-
-

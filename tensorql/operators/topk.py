@@ -10,5 +10,5 @@ def top_k(df: DataFrame, n: int, rank: int = 2) -> DataFrame:
     """Of each row of the last dimension: d0, .., place (0 for the largest), index, val. Ties go to the smaller index."""
     *row, last = [f"d{k}" for k in range(rank)]
     order = Window.partitionBy(*row).orderBy(F.desc("val"), last)
-    placed = df.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < n)
-    return placed.select(*row, "place", F.col(last).alias("index"), "val")
+    placed = df.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)  # as such, so that tasks keep n rows each before the shuffle
+    return placed.select(*row, (F.col("nth") - 1).alias("place"), F.col(last).alias("index"), "val")

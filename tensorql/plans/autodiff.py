@@ -130,6 +130,8 @@ def backprop(out: Node | Tensor, weights: list[Node | Tensor]) -> list[Tensor]:
                 parts = [G.to_complex(u)]
             case "squeeze":
                 parts = [G.squeeze(u, n.inputs[0].shape)]
+            case "formation":
+                parts = [u]
             case _:
                 parts = []
         for x, g in zip(n.inputs, parts, strict=False):

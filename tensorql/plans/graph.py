@@ -18,7 +18,7 @@ from tensorql.plans.spec import Spec
 @dataclass(frozen=True, eq=False)
 class Node:
     """kinds: input(df), constant(value), lowertri(lower, upper, start), einsum(spec, join, agg), select(boxes), pad(offset),
-    to_complex, to_real, squeeze."""
+    to_complex, to_real, squeeze, formation."""
 
     kind: str
     shape: tuple[int, ...]
@@ -128,6 +128,11 @@ def squeeze(node: Node, shape) -> Node:
     return node if tuple(shape) == node.shape else make("squeeze", shape, node.dtype, [node])
 
 
+def formation(node: Node) -> Node:
+    """The same tensor, formed: written once, however many use it."""
+    return node if node.kind in ("input", "constant", "lowertri", "formation") else make("formation", node.shape, node.dtype, [node])
+
+
 def rng(begin: int, end: int) -> slice:
     return slice(begin, end)
 
@@ -222,6 +227,9 @@ class Tensor:
         t = self.permuted()
         return Tensor.of(squeeze(t.node, [*t.node.shape[:dim], 1, *t.node.shape[dim:]]))
 
+    def formed(self) -> Tensor:
+        return Tensor(formation(self.node), self.groups)
+
     def to_real(self) -> Tensor:
         return Tensor.of(to_real(self.permuted().node))
 

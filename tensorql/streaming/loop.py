@@ -11,11 +11,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tensorql.sources.store import shared_dir
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's own folder; only where none is set (tests), one under /tmp."""
+    """The session's own folder; see store.shared_dir()."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def iterate(spark: SparkSession, state: dict[str, DataFrame], step: Callable[[dict[str, DataFrame], int], dict[str, DataFrame]], rounds: int) -> dict[str, DataFrame]:
