@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorql.sources.store import discard, materialize, shared_dir  # noqa: F401
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -25,63 +25,11 @@ def ship(spark: SparkSession) -> None:
         sc._tensorql_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or the one given to setCheckpointDir. Where neither is set, /tmp, in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file:///tmp/checkpoints"
-
-
 def col(name: str) -> Column:
     """The top-level column of that name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _file_system(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table written by materialize()."""
-    with contextlib.suppress(Exception):
-        fs, p = _file_system(spark, path)
-        fs.delete(p, True)
-
-
-def table_bytes(spark: SparkSession, path: str) -> int:
-    fs, p = _file_system(spark, path)
-    return int(fs.getContentSummary(p).getLength())
-
-
-@contextlib.contextmanager
-def _freeing_shuffles(spark: SparkSession):
-    """Spark deletes a query's shuffle files as it ends, instead of when the driver's collector comes round."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Writes df once into the shared folder and reads it back: lineage ends here, and lost executors lose nothing.
-
-    Returns the table and its path. It is deleted when the driver ends, or earlier by discard().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    with _freeing_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    atexit.register(discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def sign(df: DataFrame) -> tuple[int, int]:
     """Row count and an order-free checksum of a small-typed table."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("s")).first()
