@@ -69,6 +69,33 @@ class Scalar:
             return args.get(self.payload, self)
         return simplify(Scalar(self.op, tuple(a.replace(args) for a in self.args), self.dtype, self.payload))
 
+    def is_constant(self) -> bool:
+        return not self.holes()
+
+    def is_unary(self) -> bool:
+        return len(self.holes()) == 1
+
+    def is_binary(self) -> bool:
+        return len(self.holes()) == 2
+
+    def is_constant_of(self, v: complex | float) -> bool:
+        return self.op == "constant" and self.payload == v
+
+    def is_identity(self) -> bool:
+        return self == hole(0, self.dtype)
+
+    def aggregate_of(self) -> str | None:
+        """The aggregate that this function of two arguments is the step of."""
+        ordered = self.dtype != COMPLEX
+        return next((a for a in AGGREGATES if (ordered or a in ("add", "mul")) and self == from_aggregate(a, self.dtype)), None)
+
+    def get_scale(self) -> complex | float | None:
+        """c, if this is c times its only argument."""
+        if self.op != "mul":
+            return None
+        c, x = sorted(self.args, key=lambda a: a.op != "constant")
+        return c.payload if c.op == "constant" and x == hole(0, x.dtype) else None
+
     def bind(self, values: dict[str, float]) -> Scalar:
         if self.op == "variable" and self.payload in values:
             return constant(values[self.payload], self.dtype)

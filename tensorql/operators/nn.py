@@ -125,3 +125,42 @@ def squared_error(x: Tensor, y: Tensor) -> Tensor:
     """Sum of squares of differences, of shape [1]."""
     d = x.dtype
     return G.sum_to_unit(G.ew(S.square(d).replace({0: S.sub(d)}), x, y))
+
+
+def relu_network(x: Tensor, weights: list[Tensor], formed: bool = False) -> Tensor:
+    """x (row, feature) through linear layers, with relu after each but the last. With formed, each layer's result is a checkpoint: written once, for the gradient too."""
+    for w in weights[:-1]:
+        x = G.ew(S.relu(x.dtype), G.matmul(x, w))
+        x = x.formed() if formed else x
+    return G.matmul(x, weights[-1])
+
+
+def mean_squared_error(x: Tensor, y: Tensor) -> Tensor:
+    """Mean of squares of differences over all values, of shape [1]."""
+    return G.scale(1 / math.prod(x.shape), squared_error(x, y))
+
+
+def multi_label(x: Tensor, hidden: list[tuple[Tensor, Tensor]], out: Tensor, mean_logits: Tensor) -> Tensor:
+    """Probabilities (row, label): silu layers, each with its norm's weight, then the sigmoid of a linear layer added to the labels' mean logits."""
+    d = x.dtype
+    for w, norm in hidden:
+        x = rms_norm(G.ew(S.silu(d), G.matmul(x, w)), norm)
+    logits = G.ew(S.add(S.hole(0, d), S.hole(1, d)), G.matmul(x, out), mean_logits, spec="bl,l->bl")
+    return G.ew(S.sigmoid(d), logits)
+
+
+def sampled_error(probabilities: Tensor, y: Tensor, sampling: Tensor) -> Tensor:
+    """Mean of squares of differences, each times its label's weight, of shape [1]."""
+    d = probabilities.dtype
+    square = S.square(d).replace({0: S.sub(d)})
+    weighted = G.ew(S.mul(square, S.hole(2, d)), probabilities, y, sampling, spec="bl,bl,l->bl")
+    return G.scale(1 / math.prod(probabilities.shape), G.sum_to_unit(weighted))
+
+
+def weight_penalty(weights: list[Tensor], rate: float) -> Tensor:
+    """rate times the mean square of all weights, of shape [1]."""
+    total = None
+    for w in weights:
+        part = G.sum_to_unit(G.ew(S.square(w.dtype), w))
+        total = part if total is None else total + part
+    return G.scale(rate / sum(math.prod(w.shape) for w in weights), total)

@@ -70,6 +70,12 @@ def einsum(spec: str | Spec, inputs, join: S.Scalar | None = None, agg: str | No
     return make("einsum", [sizes[c] for c in spec.out], join.dtype, inputs, spec=spec, join=join, agg=agg, sizes=sizes)
 
 
+def resized(node: Node, inputs, out_shape=None) -> Node:
+    """The same einsum over inputs of other sizes."""
+    _need(node.kind == "einsum", "only an einsum has a join shape")
+    return einsum(node.p["spec"], inputs, node.p["join"], node.p["agg"], out_shape)
+
+
 def select(out_shape, pieces) -> Node:
     """pieces: (node, begin, end, offset); the box [begin, end) of the node goes to offset. Boxes tile the output exactly."""
     pieces = list(pieces)
@@ -84,6 +90,11 @@ def select(out_shape, pieces) -> Node:
     _need(covered == prod(out_shape), "boxes don't cover the output")
     _need(len({p[0].dtype for p in pieces}) == 1, "pieces are of one type")
     first = pieces[0]
+    if len(pieces) == 1 and first[0].kind == "constant":
+        return constant(first[0].p["value"], out_shape, first[0].dtype)
+    if len(pieces) == 1 and first[0].kind == "lowertri":
+        p, (row, column) = first[0].p, first[1]
+        return lowertri(p["lower"], p["upper"], *out_shape, p["start"] - row + column, first[0].dtype)
     if len(pieces) == 1 and tuple(first[0].shape) == tuple(out_shape):
         return first[0]  # the full range
     return make("select", out_shape, first[0].dtype, [p[0] for p in pieces], boxes=[tuple(map(tuple, p[1:])) for p in pieces])

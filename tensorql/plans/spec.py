@@ -75,6 +75,16 @@ class Spec:
                 return "contraction"
         return "join"
 
+    def normalized(self) -> Spec:
+        """The same with labels a, b, .. in the order of the output, then of the aggregated ones."""
+        new = {c: chr(97 + k) for k, c in enumerate(self.labels)}
+        of = lambda t: "".join(new[c] for c in t)
+        return Spec(tuple(map(of, self.terms)), of(self.out))
+
+    def without_broadcast(self) -> Spec:
+        """The output without the labels that no input has."""
+        return Spec(self.terms, "".join(c for c in self.out if c not in self.broadcast))
+
     @staticmethod
     def matmul(transpose_left: bool = False, transpose_right: bool = False) -> Spec:
         return Spec(("ji" if transpose_left else "ij", "kj" if transpose_right else "jk"), "ik")

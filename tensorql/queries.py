@@ -73,6 +73,16 @@ def result(spark: SparkSession, t: Tensor | DataFrame, variables: dict[str, floa
     return df.select(*cols, (F.round(F.col("val").cast("double"), 6) + 0.0).alias("v"))
 
 
+def weights(spark: SparkSession, rows: int, cols: int, salt: int = 0) -> Tensor:
+    """Fixed weights of sixteenths between -5 and 5, all different enough for tests."""
+    df = grid(spark, (rows, cols)).withColumn("val", F.expr(f"((d0 * 7 + d1 * 3 + {salt}) % 11 - 5) / 16.0D"))
+    return G.input_(df, (rows, cols))
+
+
+def weights_sql(name: str, rows: int, cols: int, salt: int = 0) -> str:
+    return f"{name} as (select cast(a.range as int) as a, cast(b.range as int) as b, ((a.range * 7 + b.range * 3 + {salt}) % 11 - 5) / 16.0e0 as v from range({rows}) a, range({cols}) b)"
+
+
 def query(sql: str | None = None, name: str | None = None):
     def add(f: Query) -> Query:
         key = name or f.__name__
@@ -108,9 +118,14 @@ def _matmul(spec: str, sql_on: str, keys: str):
     return run, sql
 
 
-for _name, _args in {"matmul_ts": ("ji,jk->ik", "ii", "jj"), "matmul_st": ("ij,kj->ik", "jj", "ii")}.items():
-    _f, _sql = _matmul(*_args)
-    query(_sql, _name)(_f)
+_f, _sql = _matmul("ji,jk->ik", "ii", "jj")
+query(_sql, "matmul_ts")(_f)
+
+
+@query(f"with {S_SQL}, g as (select a.j as i, b.j as j, sum(a.v * b.w) as v from s a join s b on a.i = b.i group by 1, 2) select s.i, g.i as j, {r('sum(s.v * g.v)')} from s join g on s.j = g.j group by 1, 2")
+def matmul_st(spark, sf):
+    a, b = s_tensors(spark, sf)
+    return result(spark, G.contraction("ij,kj->ik", a, G.contraction("ji,jk->ik", a, b)))
 
 
 @query(f"with {S_SQL}, g as (select a.j as i, b.j as j, sum(a.v * b.w) as v from s a join s b on a.i = b.i group by 1, 2) select s.i, g.j, {r('sum(s.v * g.v)')} from s join g on s.j = g.i group by 1, 2")
@@ -501,26 +516,18 @@ def rmsnorm(spark, sf):
     return result(spark, nn.rms_norm(x, G.fill(1.5, (x.shape[1],))))
 
 
-W_SQL = "w as (select i as a, j as b, v from x where i < 64)"
+_FF_SQL = ", ".join([X_SQL, weights_sql("w1", 64, 96), weights_sql("w2", 96, 64, 1), weights_sql("w3", 64, 96, 2)])
 
 
-@query(f"with {X_SQL}, {W_SQL}, h as (select x.i, w.b, sum(x.v * w.v) as h from x join w on x.j = w.a group by 1, 2), g as (select i, b, h / (1 + exp(-h)) * h as g from h) select g.i, w.b as j, {r('sum(g.g * w.v)')} from g join w on g.b = w.a group by 1, 2")
+@query(
+    f"with {_FF_SQL}, h as (select x.i, w1.b, sum(x.v * w1.v) as h from x join w1 on x.j = w1.a group by 1, 2), k as (select x.i, w3.b, sum(x.v * w3.v) as k from x join w3 on x.j = w3.a group by 1, 2), "
+    f"g as (select i, b, h / (1 + exp(-h)) * k as g from h join k using (i, b)) select g.i, w2.b as j, {r('sum(g.g * w2.v)')} from g join w2 on g.b = w2.a group by 1, 2"
+)
 def ff_layer(spark, sf):
-    """The gated feed-forward layer, with the first 64 vectors as all three weights."""
+    """The gated feed-forward layer."""
     x = x_tensor(spark, sf)
-    w = x.subset(slice(0, 64), slice(None))
-    return result(spark, nn.feed_forward(x.unsqueeze(0), w, w, w).squeeze(0))
-
-
-@query(f"with {X_SQL}, q as (select i, j, v from x where i < 48), s as (select a.i, b.i as t, sum(a.v * b.v) as s from q a join q b on a.j = b.j group by 1, 2), p as (select i, t, exp(s - max(s) over (partition by i)) as e from s where t <= i), n as (select i, t, e / sum(e) over (partition by i) as p from p) select n.i, q.j, {r('sum(n.p * q.v)')} from n join q on n.t = q.i group by 1, 2")
-def attention_small(spark, sf):
-    """Causal attention of 48 vectors with identity projections."""
-    x = x_tensor(spark, sf).subset(slice(0, 48), slice(None)).unsqueeze(0)
-    m = x.shape[-1]
-    eye = G.ew(S.mul(S.hole(0), S.hole(1)), G.triangle(1, 0, m, m), G.triangle(1, 0, m, m).transpose(0, 1)).unsqueeze(1)
-    back = eye.transpose(0, 1).transpose(1, 2).transpose(1, 2)
-    w = nn.AttentionWeights(eye, eye, eye, back)
-    return result(spark, nn.attention(x, w, nn.causal_mask(48, "f64"))[0].squeeze(0))
+    m = x.shape[1]
+    return result(spark, nn.feed_forward(x.unsqueeze(0), weights(spark, m, 96), weights(spark, 96, m, 1), weights(spark, m, 96, 2)).squeeze(0))
 
 
 @query(f"with {X_SQL}, s as (select a.i, b.i as t, sum(a.v * b.v) as s from x a join x b on a.i // 16 = b.i // 16 and a.j = b.j where b.i <= a.i group by 1, 2), p as (select i, t, exp(s - max(s) over (partition by i)) as e from s), n as (select i, t, e / sum(e) over (partition by i) as p from p) select n.i, x.j, {r('sum(n.p * x.v)')} from n join x on n.t = x.i group by 1, 2")
@@ -528,10 +535,8 @@ def attention_rows(spark, sf):
     """Causal attention of all vectors, in rows of 16 positions, with identity projections."""
     x = x_tensor(spark, sf)
     n, m = x.shape
-    positions = 16
-    rows = -(-n // positions)
-    df = x.node.p["df"].select(F.expr(f"cast(d0 div {positions} as int)").alias("d0"), (F.col("d0") % positions).alias("d1"), F.col("d1").alias("d2"), "val")
-    full = G.input_(T.densify(df, (rows, positions, m)), (rows, positions, m), "f64")
+    full = in_rows(spark, x)
+    positions = full.shape[1]
     eye = G.ew(S.mul(S.hole(0), S.hole(1)), G.triangle(1, 0, m, m), G.triangle(1, 0, m, m).transpose(0, 1))
     w = nn.AttentionWeights(*[eye.unsqueeze(1)] * 3, eye.unsqueeze(0))
     out = Lowering(spark)(nn.attention(full, w, nn.causal_mask(positions, "f64"))[0])
@@ -539,11 +544,159 @@ def attention_rows(spark, sf):
     return result(spark, out.where(F.col("d0") < n))
 
 
-@query(f"with {X_SQL}, {W_SQL}, a as (select i, b, sum(x.v * w.v) as v from x join w on x.j = w.a group by 1, 2), l as (select a, b, v from w where b < 4), r as (select a, b, v from w where a < 4), p as (select x.i, l.b, sum(x.v * l.v) as v from x join l on x.j = l.a group by 1, 2), q as (select p.i, r.b, sum(p.v * r.v) as v from p join r on p.b = r.a group by 1, 2) select a.i, a.b as j, {r('a.v + q.v')} from a join q on a.i = q.i and a.b = q.b")
+@query(
+    f"with {X_SQL}, {weights_sql('w', 64, 64)}, {weights_sql('l', 64, 4, 1)}, {weights_sql('r', 4, 64, 2)}, a as (select i, b, sum(x.v * w.v) as v from x join w on x.j = w.a group by 1, 2), "
+    "p as (select x.i, l.b, sum(x.v * l.v) as v from x join l on x.j = l.a group by 1, 2), q as (select p.i, r.b, sum(p.v * r.v) as v from p join r on p.b = r.a group by 1, 2) "
+    f"select a.i, a.b as j, {r('a.v + q.v')} from a join q on a.i = q.i and a.b = q.b"
+)
 def lora(spark, sf):
     x = x_tensor(spark, sf)
-    w = x.subset(slice(0, 64), slice(None))
-    return result(spark, nn.lora_matmul(x, w, w.subset(slice(None), slice(0, 4)), w.subset(slice(0, 4), slice(None))))
+    m = x.shape[1]
+    return result(spark, nn.lora_matmul(x, weights(spark, m, m), weights(spark, m, 4, 1), weights(spark, 4, m, 2)))
+
+
+def in_rows(spark: SparkSession, x: Tensor, positions: int = 16) -> Tensor:
+    """Vectors as (row, position, feature); the last row is filled with zeros."""
+    n, m = x.shape
+    rows = -(-n // positions)
+    df = x.node.p["df"].select(F.expr(f"cast(d0 div {positions} as int)").alias("d0"), (F.col("d0") % positions).alias("d1"), F.col("d1").alias("d2"), "val")
+    return G.input_(T.densify(df, (rows, positions, m)), (rows, positions, m), "f64")
+
+
+def _transformer_sql(layers: int = 2, heads: int = 4, hidden: int = 96, vocabulary: int = 8) -> str:
+    dim = 64 // heads
+    parts = [X_SQL, "g as (select range as i from range(cast((select ceil(count(*) / 16) * 16 from embeddings) as bigint)))"]
+    parts.append("x0 as (select cast(g.i as int) as i, cast(j.range as int) as j, coalesce(x.v, 0) as v from g cross join range(64) j left join x on x.i = g.i and x.j = j.range)")
+    norm = lambda new, old: f"{new} as (select i, j, v * pow(avg(v * v) over (partition by i) + 1e-6, -0.5) as v from {old})"
+    times = lambda new, old, w: f"{new} as (select o.i, w.b as j, sum(o.v * w.v) as v from {old} o join {w} w on o.j = w.a group by 1, 2)"
+    for k in range(layers):
+        n = lambda name: f"{name}{k}"  # noqa: E731, B023
+        for salt, (w, rows, cols) in enumerate((("wq", 64, 64), ("wk", 64, 64), ("wv", 64, 64), ("wo", 64, 64), ("u", 64, hidden), ("v", hidden, 64), ("z", 64, hidden))):
+            parts.append(weights_sql(n(w), rows, cols, 10 * k + salt))
+        parts += [norm(n("n"), n("x")), times(n("q"), n("n"), n("wq")), times(n("k"), n("n"), n("wk")), times(n("y"), n("n"), n("wv"))]
+        parts.append(f"{n('s')} as (select q.i, k.i as t, q.j // {dim} as h, sum(q.v * k.v) as s from {n('q')} q join {n('k')} k on q.i // 16 = k.i // 16 and q.j = k.j where k.i <= q.i group by 1, 2, 3)")
+        parts.append(f"{n('e')} as (select i, t, h, exp(s - max(s) over (partition by i, h)) as e from {n('s')})")
+        parts.append(f"{n('p')} as (select i, t, h, e / sum(e) over (partition by i, h) as p from {n('e')})")
+        parts.append(f"{n('m')} as (select p.i, y.j, sum(p.p * y.v) as v from {n('p')} p join {n('y')} y on p.t = y.i and p.h = y.j // {dim} group by 1, 2)")
+        parts.append(times(n("o"), n("m"), n("wo")))
+        parts.append(f"{n('r')} as (select i, j, x.v + o.v as v from {n('x')} x join {n('o')} o using (i, j))")
+        parts += [norm(n("l"), n("r")), times(n("a"), n("l"), n("u")), times(n("b"), n("l"), n("z"))]
+        parts.append(f"{n('c')} as (select i, j, a.v / (1 + exp(-a.v)) * b.v as v from {n('a')} a join {n('b')} b using (i, j))")
+        parts.append(times(n("f"), n("c"), n("v")))
+        parts.append(f"x{k + 1} as (select i, j, r.v + f.v as v from {n('r')} r join {n('f')} f using (i, j))")
+    parts += [norm("last", f"(select * from x{layers} where i % 16 = 15)"), weights_sql("vocabulary", 64, vocabulary, 99), times("logits", "last", "vocabulary")]
+    return f"with {', '.join(parts)} select cast(i // 16 as int) as i, j, {r('v')} from logits"
+
+
+@query(_transformer_sql())
+def transformer(spark, sf, layers: int = 2, heads: int = 4, hidden: int = 96, vocabulary: int = 8):
+    """Two residual blocks of causal attention and gated feed-forward over all vectors, in rows of 16 positions; logits of the last position."""
+    x = in_rows(spark, x_tensor(spark, sf))
+    m = x.shape[2]
+    dim = m // heads
+    ones = G.fill(1.0, (m,))
+
+    def split(w: Tensor, out: bool = False) -> Tensor:
+        """(model, model) as (model, heads, dim), or (heads, dim, model)."""
+        df = w.node.p["df"]
+        of = [F.expr(f"cast({'d0' if out else 'd1'} div {dim} as int)"), (F.col("d0" if out else "d1") % dim)]
+        cols = [*of, F.col("d1")] if out else [F.col("d0"), *of]
+        shape = (heads, dim, m) if out else (m, heads, dim)
+        return G.input_(df.select(*(c.alias(f"d{k}") for k, c in enumerate(cols)), "val"), shape)
+
+    blocks = []
+    for k in range(layers):
+        w = [weights(spark, rows, cols, 10 * k + salt) for salt, (rows, cols) in enumerate(((m, m), (m, m), (m, m), (m, m), (m, hidden), (hidden, m), (m, hidden)))]
+        heads_of = nn.AttentionWeights(*map(split, w[:3]), split(w[3], True))
+        blocks.append(nn.Block(heads_of, ones, ones, w[4], w[5], w[6]))
+    logits, _ = nn.transformer(x, blocks, ones, weights(spark, m, vocabulary, 99), nn.causal_mask(x.shape[1], "f64"))
+    return result(spark, logits)
+
+
+# Models: labels by vectors.
+
+_NET_SQL = ", ".join([X_SQL, weights_sql("w1", 64, 16), weights_sql("w2", 16, 1, 1)]) + (
+    ", h as (select x.i, w1.b, sum(x.v * w1.v) as h from x join w1 on x.j = w1.a group by 1, 2), o as (select h.i, sum(greatest(h, 0) * w2.v) as o from h join w2 on h.b = w2.a group by 1), "
+    "e as (select cast(vec_id as int) as i, o - label as e, count(*) over () as n from embeddings join o on o.i = vec_id)"
+)
+
+
+def _network(spark: SparkSession, sf: str, formed: bool = False) -> tuple[Tensor, list[Tensor]]:
+    x, e = x_tensor(spark, sf), table(spark, sf, "embeddings")
+    ws = [weights(spark, x.shape[1], 16), weights(spark, 16, 1, 1)]
+    y = G.input_(T.column(e, "vec_id", "label"), (x.shape[0],)).unsqueeze(1)
+    return nn.mean_squared_error(nn.relu_network(x, ws, formed), y), ws
+
+
+@query(f"with {_NET_SQL} select 0 as i, {r('sum(e * e) / max(n)')} from e")
+def regression_loss(spark, sf):
+    """Mean squared error of a relu network."""
+    return result(spark, _network(spark, sf)[0])
+
+
+_NET_GRAD_SQL = f"with {_NET_SQL} select x.j as i, h.b as j, {r('sum(2 * e.e / e.n * w2.v * case when h.h > 0 then x.v else 0 end)')} from x join h on h.i = x.i join w2 on w2.a = h.b join e on e.i = x.i group by 1, 2"
+
+
+@query(_NET_GRAD_SQL)
+def grad_regression(spark, sf):
+    """Its gradient by the first layer's weights."""
+    loss, ws = _network(spark, sf)
+    return result(spark, backprop(loss, ws)[0])
+
+
+@query(_NET_GRAD_SQL)
+def grad_checkpointed(spark, sf):
+    """The same, forward and backward meeting at the formed result of the hidden layer."""
+    loss, ws = _network(spark, sf, True)
+    return result(spark, backprop(loss, ws)[0])
+
+
+_LABEL_SQL = ", ".join([X_SQL, weights_sql("w1", 64, 16), "classes as (select max(label) + 1 as c from embeddings)"]) + (
+    ", w2 as (select cast(a.range as int) as a, cast(b.range as int) as b, ((a.range * 7 + b.range * 3 + 1) % 11 - 5) / 16.0e0 as v from range(16) a, range((select c from classes)) b), "
+    "k as (select label as b, ln((count(*) / n) / (1 - count(*) / n)) as logit, n / count(*) as weight from embeddings, (select count(*) * 1.0e0 as n from embeddings) group by label, n), "
+    "h as (select x.i, w1.b, sum(x.v * w1.v) as h from x join w1 on x.j = w1.a group by 1, 2), s as (select i, b, h / (1 + exp(-h)) as s from h), "
+    "n as (select i, b, s * pow(avg(s * s) over (partition by i) + 1e-6, -0.5) * 1.5 as s from s), o as (select n.i, w2.b, sum(n.s * w2.v) as o from n join w2 on n.b = w2.a group by 1, 2), "
+    "p as (select o.i, o.b, 1 / (1 + exp(-(o.o + k.logit))) as p, k.weight from o join k using (b))"
+)
+
+
+@query(
+    f"with {_LABEL_SQL}, m as (select avg(pow(p - case when e.label = p.b then 1 else 0 end, 2) * weight) as m from p join embeddings e on e.vec_id = p.i), "
+    f"q as (select 0.1 * sum(v * v) / count(*) as q from (select v from w1 union all select v from w2)) select 0 as i, {r('m + q')} from m, q"
+)
+def multi_label_loss(spark, sf):
+    """Labels as an extreme multi-label classifier takes them: sampled error and weight penalty."""
+    x, e = x_tensor(spark, sf), table(spark, sf, "embeddings")
+    classes = e.agg(F.max("label")).first()[0] + 1
+    found = T.label_weights(e.select("label"), e.count())
+    mean_logits = G.input_(T.column(found, "label", "logit"), (classes,))
+    sampling = G.input_(T.column(found.withColumn("weight", 1 / F.col("p")), "label", "weight"), (classes,))
+    y = G.input_(T.one_hot(e, "vec_id", "label", classes), (x.shape[0], classes))
+    w1, w2 = weights(spark, x.shape[1], 16), weights(spark, 16, classes, 1)
+    p = nn.multi_label(x, [(w1, G.fill(1.5, (16,)))], w2, mean_logits)
+    return result(spark, nn.sampled_error(p, y, sampling) + nn.weight_penalty([w1, w2], 0.1))
+
+
+@query(f"with {X_SQL}, g as (select a.j as i, b.j as j, sum(a.v * b.v) as v from x a join x b on a.i = b.i group by 1, 2) select g.i, g.j, {r('g.v * h.v')} from g join g h on g.i = h.j and g.j = h.i")
+def formed_twice(spark, sf):
+    """A Gram matrix, formed once, times its transpose, position by position."""
+    x = x_tensor(spark, sf)
+    g = G.contraction("ij,ik->jk", x, x).formed()
+    return result(spark, G.mul(g, g.transpose(0, 1)))
+
+
+@query("select cast(i as int) as i, cast(j as int) as j, case when i + 3 - 2 >= j + 4 then 1.5e0 else -2.5e0 end as v from range(9) a(i), range(5) b(j)")
+def fill_select(spark, sf):
+    """A box of a triangle is a triangle."""
+    return result(spark, G.triangle(1.5, -2.5, 20, 20, 2).subset(slice(3, 12), slice(4, 9)))
+
+
+@query(f"with {X_SQL} select x.i, x.j, {r('y.v')} from x join x y on x.i = y.i and y.j = case when x.j % 2 = 0 then x.j + 1 else x.j - 1 end")
+def complex_parts(spark, sf):
+    """Real and imaginary parts change places."""
+    z = x_tensor(spark, sf, "f32").to_complex()
+    h = S.hole(0, "c64")
+    return result(spark, G.ew(S.cplex(S.imag(h), S.real(h)), z).to_real())
 
 
 # Optimizers: one step on half the sum of squares, whose gradient is the weight itself.
@@ -621,7 +774,26 @@ def blocked_matmul(spark, sf):
 # Loops.
 
 
-@query()
+def _train_sql(steps: int = 3) -> str:
+    parts = [X_SQL, "y as (select cast(vec_id as int) as i, cast(label as double) as y, count(*) over () as n from embeddings)", "w0 as (select cast(range as int) as j, 0.0e0 as w from range(64))"]
+    for k in range(steps):
+        parts.append(f"e{k} as (select x.i, sum(x.v * w.w) - max(y.y) as e, max(y.n) as n from x join w{k} w on w.j = x.j join y on y.i = x.i group by 1)")
+        parts.append(f"w{k + 1} as (select x.j, max(w.w) - 0.1 / max(e.n) * sum(2 * e.e * x.v) as w from x join e{k} e on e.i = x.i join w{k} w on w.j = x.j group by 1)")
+    return f"with {', '.join(parts)} select j as i, {r('w')} from w{steps}"
+
+
+def _decode_sql(rounds: int = 3) -> str:
+    parts = [X_SQL, "p0 as (select 0 as t, j, v from x where i = 0)", "t0 as (select 0 as k, 0 as id)"]
+    for k in range(rounds):
+        parts.append(f"s{k} as (select a.t, sum(a.v * b.v) as s from p{k} a join p{k} b on a.j = b.j where b.t = {k} group by 1)")
+        parts.append(f"m{k} as (select p.j, sum(exp(s.s) * p.v) / (select sum(exp(s)) from s{k}) as v from p{k} p join s{k} s on s.t = p.t group by 1)")
+        parts.append(f"t{k + 1} as (select {k + 1} as k, x.i as id from x join m{k} m on m.j = x.j group by x.i order by sum(x.v * m.v) desc, x.i limit 1)")
+        parts.append(f"p{k + 1} as (select * from p{k} union all select {k + 1} as t, x.j, x.v from x join t{k + 1} n on n.id = x.i)")
+    all_tokens = " union all ".join(f"select * from t{k}" for k in range(rounds + 1))
+    return f"with {', '.join(parts)} select k as i, {r('id')} from ({all_tokens})"
+
+
+@query(_train_sql())
 def train_loop(spark, sf):
     """Least squares of labels by vectors: three steps of gradient descent, state checkpointed each round."""
     from tensorql.streaming.loop import iterate
@@ -640,7 +812,7 @@ def train_loop(spark, sf):
     return result(spark, iterate(spark, {"w": start}, step, 3)["w"])
 
 
-@query()
+@query(_decode_sql())
 def decode_loop(spark, sf):
     """Greedy decoding: each round attends over keys and values kept from the rounds before, and takes the likeliest next vector."""
     from tensorql.streaming.loop import iterate

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +35,17 @@ def column(df: DataFrame, row: str, value: str) -> DataFrame:
 
 def one_hot(df: DataFrame, row: str, label: str, classes: int) -> DataFrame:
     """1.0 at the label of each row, else 0.0."""
-    return df.select(F.col(row).cast("int").alias("d0"), F.col(label).alias("label")).crossJoin(grid(df.sparkSession, (classes,)).withColumnRenamed("d0", "d1")).select(
-        "d0", "d1", F.when(F.col("d1") == F.col("label"), 1.0).otherwise(0.0).alias("val")
-    )
+    each = df.select(F.col(row).cast("int").alias("d0"), F.col(label).alias("label"), F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("d1"))
+    return each.select("d0", "d1", F.when(F.col("d1") == F.col("label"), 1.0).otherwise(0.0).alias("val"))
 
 
 def gather(table: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """Rows of a matrix (d0, d1, val) by ids (d0 position, id); an id below 0 or unknown gives a row of zeros."""
-    wanted = ids.select("d0", F.col("id").alias("row")).crossJoin(grid(ids.sparkSession, (width,)).withColumnRenamed("d0", "d1"))
-    rows = table.select(F.col("d0").alias("row"), "d1", "val")
-    return wanted.join(rows, ["row", "d1"], "left").select("d0", "d1", F.coalesce("val", F.lit(0.0)).alias("val"))
+    wanted, rows = ids.select("d0", F.col("id").alias("row")), table.select(F.col("d0").alias("row"), "d1", "val")
+    known = wanted.join(rows, "row").select("d0", "d1", F.coalesce("val", F.lit(0.0)).alias("val"))
+    unknown = wanted.join(rows.select("row").distinct(), "row", "left_anti")
+    zeros = unknown.select("d0", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("d1"), F.lit(0.0).alias("val"))
+    return known.unionByName(zeros)
 
 
 def iota(spark: SparkSession, shape: tuple[int, ...], start: float = 0.0) -> DataFrame:
@@ -100,13 +101,40 @@ def weights_bytes(tensors: dict[str, np.ndarray], name_bytes: int = 50) -> bytes
     return out
 
 
-def flat_to_tensor(df: DataFrame, shape: tuple[int, ...]) -> DataFrame:
+def flat_to_tensor(df: DataFrame, shape: tuple[int, ...], *more: Column) -> DataFrame:
     """(index, val) in row-major order to positions."""
     rest, cols = int(np.prod(shape)), []
     for k, n in enumerate(shape):
         rest //= n
         cols.append(F.expr(f"cast(index div {rest} % {n} as int)").alias(f"d{k}"))
-    return df.select(*cols, "val")
+    return df.select(*cols, "val", *more)
+
+
+def read_sharded(spark: SparkSession, path: str, name: str, shape: tuple[int, ...], along: int | None = None) -> DataFrame:
+    """A tensor of files written by several writers, each with a strip of it along one dimension, in the order of the files' names; with along None the first file has it whole."""
+    rows = read_weights(spark, path).where(F.col("name") == name)
+    files = sorted(r["file"] for r in rows.select("file").distinct().collect())  # as many as there were writers
+    if along is None:
+        return flat_to_tensor(rows.where(F.col("file") == files[0]), shape)
+    strip = tuple(n // len(files) if k == along else n for k, n in enumerate(shape))
+    if strip[along] * len(files) != shape[along]:
+        raise ValueError(f"{len(files)} files don't share {shape[along]} evenly")
+    which = F.array_position(F.array(*map(F.lit, files)), F.col("file")) - 1
+    placed = flat_to_tensor(rows, strip, which.cast("int").alias("strip"))
+    return placed.select(*((F.col(f"d{k}") + F.col("strip") * strip[k] if k == along else F.col(f"d{k}")).alias(f"d{k}") for k in range(len(shape))), "val")
+
+
+def encode_texts(df: DataFrame, row: str, text: str, make: Callable[[], Callable[[str], list[int]]]) -> DataFrame:
+    """(row, ids) by an external tokenizer. make() gives a worker its encoder, once for each task; null text has no ids."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        encode = make()
+        for b in batches:
+            ids = [encode(t) if t is not None else [] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
+
+    kind = df.schema[row].dataType.simpleString()
+    return df.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, f"row {kind}, ids array<int>")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
