@@ -4,7 +4,7 @@ Input at each word: a learned vector of the word (hashed), the mean of learned v
 character trigrams (hashed), how much likelier the word is in toxic training documents, and
 the same for the likeliest of its beginnings of 4 to 6 characters.
 A gated recurrent unit runs over each window of words in either direction; attention pools its
-states into one logit. Windows overlap by half and cover the whole text; a document's score
+states into one logit. Windows overlap by a quarter and cover the whole text; a document's score
 comes from its highest window through a fitted logistic.
 
 Documents are labelled, windows are not: in each epoch a toxic document teaches with its
@@ -236,11 +236,11 @@ def score_texts(net: Network, vocabulary: Vocabulary, texts: list[str], most: in
     return _sigmoid(net.slope[0] * best + net.slope[1])
 
 
-def _odds(docs: list[set[int]], y: np.ndarray) -> np.ndarray:
+def _odds(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Shrunk log ratio of the shares of toxic and other documents that have a word."""
     has = np.zeros((2, ODDS))
     for s, label in zip(docs, y, strict=True):
-        has[int(label), list(s)] += 1
+        has[int(label), s] += 1
     n = np.array([(y == 0).sum(), (y == 1).sum()]).reshape(2, 1)
     p = (has + 1) / (n + 2)
     seen = has.sum(0)
@@ -259,7 +259,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) ->
     prepared = prepare(list(vocabulary))
     pad = len(vocabulary)
     del vocabulary
-    sets = [set(prepared.odds[np.unique(i)].ravel().tolist()) for i in ids]
+    sets = [np.unique(prepared.odds[np.unique(i)]) for i in ids]
     half = np.arange(len(y)) % 2
     cross = [_odds([s for s, k in zip(sets, half, strict=True) if k != f], y[half != f]) for f in (0, 1)]
     net.odds = _odds(sets, y)
