@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -211,16 +211,30 @@ def _score(sent, kind):
     return run
 
 
-def _spread(batches):
-    """Every document's distinct 4-grams, for the join with a model too large to send."""
+def _spread(batches, most: int = 1 << 18):
+    """Every document's distinct 4-grams, for the join with a model too large to send. Batches of about `most` rows."""
+    held, size = [], 0
+
+    def out():
+        row, lang, keys, n = zip(*held, strict=True)
+        sizes = list(map(len, keys))
+        langs = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(lang)), sizes), pa.int32()), pa.array(lang)).cast(pa.string())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array(row, np.int64), sizes)), langs, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(n))], ["row", "lang", "key", "n"]
+        )
+
     for b in batches:
+        ids = b["row"].to_numpy()
         for lang, rows, texts in _batches_by_language(b):
-            ids = b["row"].to_numpy()
             for i, t in zip(rows, texts, strict=True):
                 keys, n = np.unique(grams([t])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), ids[i])), pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["row", "lang", "key", "n"]
-                )
+                held.append((ids[i], lang, keys, n))
+                size += len(keys)
+                if size >= most:
+                    yield out()
+                    held, size = [], 0
+    if held:
+        yield out()
 
 
 def perplexities(docs: DataFrame, array_rows: int = ARRAY_ROWS) -> DataFrame:
@@ -243,6 +257,19 @@ def perplexities(docs: DataFrame, array_rows: int = ARRAY_ROWS) -> DataFrame:
     return kept.join(sums, "row", "left").select("doc_id", "lang", *(c.split()[0] for c in BASE.split(", ")), F.col("joined").alias("log_ppl"))
 
 
+def quartiles(scored: DataFrame) -> DataFrame:
+    """(lang, q1, q3) of log_ppl: the least thousandths that a quarter and three quarters of the values are at or below.
+
+    Counted by thousandths, so the result is the same in whatever order tasks end. Perplexities
+    are of 65,536 symbols at most, so a language has at most some ten thousand counts.
+    """
+    counts = scored.groupBy("lang", F.ceil(F.col("log_ppl") * 1000).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    of = Window.partitionBy("lang")
+    seen = counts.withColumn("below", F.sum("n").over(of.orderBy("at"))).withColumn("all", F.sum("n").over(of))
+    least = lambda share: F.min(F.when(F.col("below") >= share * F.col("all"), F.col("at"))) / 1000.0
+    return seen.groupBy("lang").agg(least(0.25).alias("q1"), least(0.75).alias("q3"))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", wide: float = WIDE, array_rows: int = ARRAY_ROWS) -> DataFrame:
     """doc_id, lang, the base counts, base_failed, log_ppl, low, high (the band), kept for every row of docs."""
     code = F.lower(F.col(lang_col))
@@ -252,9 +279,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     scored, _ = C.materialize(perplexities(own, array_rows), "perplexities")
-    q = F.percentile_approx("log_ppl", [0.25, 0.75], 10_000)
-    bands = scored.where(f"n_words >= {MIN_WORDS}").groupBy("lang").agg(q.alias("q"))
-    bands = bands.select("lang", (F.col("q")[0] - wide * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + wide * (F.col("q")[1] - F.col("q")[0])).alias("high"))
+    bands = quartiles(scored.where(f"n_words >= {MIN_WORDS}"))
+    bands = bands.select("lang", (F.col("q1") - wide * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + wide * (F.col("q3") - F.col("q1"))).alias("high"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     # Bands: one row for each language code.
     return scored.join(F.broadcast(bands), "lang", "left").select(
