@@ -27,8 +27,8 @@ from . import _common as C
 
 NONE = 1 << 62
 SHIFT = 20
-#: Runs that a worker keeps encoded; when full, the table starts anew.
-KEEP = 500_000
+#: Runs that a worker keeps encoded, in entries and in characters, and the longest of them; when full, the table starts anew.
+KEEP, KEEP_CHARS, LONG = 500_000, 48 << 20, 256
 
 
 def merge(symbols: list[int], ranks: dict[int, int], first: int) -> list[int]:
@@ -119,6 +119,7 @@ class WordBpe:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.seen: dict[str, tuple[str, str, int]] = {}
+        self.held = 0
 
     def _word(self, word: str) -> list[int]:
         symbols = list(word.encode("utf-8"))
@@ -170,9 +171,12 @@ class WordBpe:
             else:
                 ids, tokens = self._strings(run)
                 found = (" ".join(ids), " ".join(tokens), len(ids))
-            if len(self.seen) >= KEEP:
-                self.seen.clear()
-            self.seen[run] = found
+            if len(run) <= LONG:
+                if len(self.seen) >= KEEP or self.held > KEEP_CHARS:
+                    self.seen.clear()
+                    self.held = 0
+                self.seen[run] = found
+                self.held += len(run) + len(found[0]) + len(found[1])
         return found
 
     def encode(self, text: str) -> list[int]:

@@ -32,8 +32,10 @@ OPEN = 128
 #: Tasks whose leftovers are merged together.
 FAN_IN = 16
 END_ID = 1
-#: Runs that a worker keeps encoded; when full, the table starts anew.
-KEEP = 300_000
+#: Runs that a worker keeps encoded, in entries and in bytes of runs and ids; when full, the table starts anew.
+KEEP, KEEP_BYTES = 300_000, 24 << 20
+#: Texts with a longer run are encoded whole, and nothing of them is kept.
+LONG = 512
 #: How the file splits texts before its merges: the pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Sequence ids of merged windows have this bit.
@@ -70,10 +72,25 @@ class ByteBpe:
         merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
         in_order = all(spec["model"]["vocab"][t] == 256 + k for k, t in enumerate(merged)) and len(vocab) == 256 + len(merged)
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={}) if in_order else None
+        if not self._as_supposed(spec):
+            self.fast, self._plain = None, lambda text: False
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for t, k in vocab.items():
             self.width[k] = len(t)
         self.seen: dict[str, bytes] = {}
+        self.held = 0
+
+    @staticmethod
+    def _as_supposed(spec: dict) -> bool:
+        """The file splits and merges as cutting and tiktoken suppose; texts of another file go through the library whole."""
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        return (
+            spec.get("normalizer") is None
+            and (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
+            and (model.get("type", "BPE"), bool(model.get("dropout")), bool(model.get("ignore_merges"))) == ("BPE", False, False)
+            and not model.get("continuing_subword_prefix")
+            and not model.get("end_of_word_suffix")
+        )
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -104,15 +121,18 @@ class ByteBpe:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         seen = self.seen
-        if len(seen) > KEEP:
+        if len(seen) > KEEP or self.held > KEEP_BYTES:
             seen.clear()
+            self.held = 0
         split = [t.split(" ") if self._plain(t) else None for t in texts]
+        split = [runs if runs and max(map(len, runs)) <= LONG else None for runs in split]
         rest: set[str] = set()
         for runs in split:
             if runs:
                 rest.update(runs[1:])
         if new := [r for r in rest if r not in seen]:
             self._learn(new)
+            self.held += sum(len(r) + len(seen[r]) for r in new)
         out = []
         for text, runs in zip(texts, split, strict=True):
             if runs is None:

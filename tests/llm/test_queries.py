@@ -174,3 +174,32 @@ def test_empty_tables(spark, op):
         "op5": lambda: toxicity.toxicity(empty, toxicity.train(empty, labels)), "op3": lambda: bpe.encode_decode(empty) if hasattr(bpe, "encode_decode") else empty,
     }[op]()
     assert found.count() == 0
+
+
+def test_caches_are_bounded_and_other_files_go_through_the_library(spark, monkeypatch, tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["some words here and there", "x" * 2000 + " then more words", "zwölf Boxkämpfer jagen", "a  b\n c", *(f"word{k} of{k} text" for k in range(50))]
+    plain = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "KEEP_BYTES", 200)
+    fast = packing.ByteBpe(path)
+    for _ in range(3):
+        for k in range(0, len(texts), 9):
+            got = fast(texts[k : k + 9])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts[k : k + 9]]
+    assert max(map(len, fast.seen)) <= packing.LONG
+    spec = json.load(open(path))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    other, want = packing.ByteBpe(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert [np.frombuffer(g, "<u4").tolist() for g in other(texts)] == [want.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "KEEP_CHARS", 100)
+    word = bpe.WordBpe(bpe.default_path())
+    want = Tokenizer.from_file(bpe.default_path())
+    for t in texts:
+        assert [int(i) for r in word.runs(t) for i in word.lookup(r)[0].split()] == want.encode(t, add_special_tokens=False).ids
+    assert max(map(len, word.seen), default=0) <= bpe.LONG
