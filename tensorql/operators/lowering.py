@@ -298,9 +298,10 @@ def to_numpy(df: DataFrame, shape: tuple[int, ...], dtype: str = "f64") -> np.nd
     """A small tensor on the driver."""
     kind = {"f16": np.float16, "f32": np.float32, "f64": np.float64, "c64": np.complex64}[dtype]
     out = np.full(shape, np.nan, kind)
-    for row in df.collect():
-        v = row["val"]
-        out[tuple(row[f"d{k}"] for k in range(len(shape)))] = complex(v["re"], v["im"]) if dtype == S.COMPLEX else v
+    rows = df.toArrow()
+    at = tuple(rows[f"d{k}"].to_numpy() for k in range(len(shape)))
+    v = rows["val"].combine_chunks()
+    out[at] = v.field("re").to_numpy(zero_copy_only=False) + 1j * v.field("im").to_numpy(zero_copy_only=False) if dtype == S.COMPLEX else v.to_numpy(zero_copy_only=False)
     return out
 
 

@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tensorql.operators.lowering import grid, keys
+from tensorql.sources.store import materialize
 
 
 def densify(df: DataFrame, shape: tuple[int, ...], fill: float = 0.0) -> DataFrame:
@@ -153,19 +154,35 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, record long, text string")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, text) of one text file, read in splits: lines are counted by split, and a split's lines numbered after those before it."""
+    read = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    lines, _ = materialize(read, "lines")  # numbers are those of one reading
+    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split of the file
+    starts = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select("split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("split").orderBy("at"))
+    return lines.withColumn("nth", within).join(starts, "split").select((F.col("start") + F.col("nth") - 1).alias("line"), "text")
+
+
 def read_multi_label(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Text with a first line "rows features labels", then lines "l,l f:v f:v". (labels (row, label), features (d0, d1, val)).
+    """A file with a first line "rows features labels", then lines "l,l f:v f:v". (labels (row, label), features (d0, d1, val)).
 
-    Rows are numbered by file order within one file.
+    Rows are numbered by their order in the file.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    lines = lines.where("line > 0 and trim(text) <> ''").select((F.col("line") - 1).alias("row"), "text")
+    lines = numbered_lines(spark, path).where("line > 0 and trim(text) <> ''").select((F.col("line") - 1).alias("row"), "text")
     labels = lines.select("row", F.explode(F.split(F.split("text", " ")[0], ",")).alias("label")).where("label <> '' and label not like '%:%'")
     pairs = lines.select("row", F.explode(F.split("text", " ")).alias("p")).where("p like '%:%'")
     features = pairs.select(F.col("row").cast("int").alias("d0"), F.split("p", ":")[0].cast("int").alias("d1"), F.split("p", ":")[1].cast("double").alias("val"))
     return labels.select(F.col("row").cast("int").alias("row"), F.col("label").cast("int").alias("label")), features
 
 
+def read_counts(spark: SparkSession, path: str, rows: int) -> DataFrame:
+    """Of a counts file "c,c,..", by label: label, n, p and logit, as label_weights() gives them."""
+    found = spark.read.text(path).where("trim(value) <> ''").select(F.posexplode(F.split("value", ",")).alias("label", "n"))
+    p = F.col("n") / rows
+    return found.select("label", F.trim("n").cast("long").alias("n")).select("label", "n", p.alias("p"), F.log(p / (1 - p)).alias("logit"))
+
+
 def label_weights(labels: DataFrame, rows: int) -> DataFrame:
     """Of each label: count, share p, and the logit of p."""
     p = F.col("n") / rows

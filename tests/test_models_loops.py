@@ -154,3 +154,19 @@ def test_queries_against_their_sql(spark, sf):
         keys = [c for c in got.columns if c != "v"]
         got, want = (d.sort_values(keys).reset_index(drop=True) for d in (got, want))
         np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(float), atol=2e-6, err_msg=name)
+
+
+def test_lines_of_many_splits(spark, tmp_path):
+    """Rows are numbered by their order in the file, whatever the splits."""
+    (tmp_path / "a.txt").write_text("400 5 3\n" + "\n".join(f"{k % 3},{(k + 1) % 3} {k % 5}:{k}.5" for k in range(400)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        labels, features = T.read_multi_label(spark, str(tmp_path / "a.txt"))
+        assert sorted((r["d0"], r["d1"], r["val"]) for r in features.collect()) == [(k, k % 5, k + 0.5) for k in range(400)]
+        assert labels.count() == 800 and T.numbered_lines(spark, str(tmp_path / "a.txt")).rdd.getNumPartitions() > 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "counts").write_text("1,3,2\n")
+    got = {r["label"]: (r["n"], round(r["p"], 6)) for r in T.read_counts(spark, str(tmp_path / "counts"), 4).collect()}
+    assert got == {0: (1, 0.25), 1: (3, 0.75), 2: (2, 0.5)}
