@@ -209,6 +209,8 @@ class Lowering:
             out, weight = self._joined(node)
         if agg is None:
             return self._new(out, weight)
+        if spec.broadcast:
+            return self._new(self._broadcast_sums(node, out), weight + 1)
         return self._new(out.groupBy(*keys(len(spec.out))).agg(aggregate(agg, node.dtype, F.col("val")).alias("val")), weight + 1)
 
     def _joined(self, node: Node) -> tuple[DataFrame, int]:
@@ -228,12 +230,24 @@ class Lowering:
                 on = [name[c] for c in t if c in have]
                 joined = joined.join(part, on) if on else joined.crossJoin(part)
             have |= set(t)
+        if spec.broadcast and node.p["agg"]:
+            value = S.to_column(node.p["join"], [F.col(f"v{i}") for i in range(len(node.inputs))], self.variables)
+            return joined.select(*(F.col(name[c]).alias(f"d{k}") for k, c in enumerate(spec.out) if c not in spec.broadcast), value.alias("val")), weight
         if spec.broadcast:
             new = grid(self.spark, tuple(node.p["sizes"][c] for c in spec.broadcast))
             joined = joined.crossJoin(new.select(*(F.col(f"d{k}").alias(name[c]) for k, c in enumerate(spec.broadcast))))
         value = S.to_column(node.p["join"], [F.col(f"v{i}") for i in range(len(node.inputs))], self.variables)
         return joined.select(*(F.col(name[c]).alias(f"d{k}") for k, c in enumerate(spec.out)), value.alias("val")), weight
 
+    def _broadcast_sums(self, node: Node, out: DataFrame) -> DataFrame:
+        """out: of the labels that inputs have. The aggregate, which is the same along the others, goes along these once it is taken."""
+        spec = node.p["spec"]
+        have = [f"d{k}" for k, c in enumerate(spec.out) if c not in spec.broadcast]
+        found = out.groupBy(*have).agg(aggregate(node.p["agg"], node.dtype, F.col("val")).alias("val"), F.count(F.lit(1)).alias("n")).where("n > 0").drop("n")
+        new = grid(self.spark, tuple(node.p["sizes"][c] for c in spec.broadcast))
+        new = new.toDF(*(f"d{spec.out.index(c)}" for c in spec.broadcast))
+        return new.crossJoin(found).select(*keys(len(spec.out)), "val")
+
     def _by_blocks(self, node: Node) -> bool:
         spec, d = node.p["spec"], node.dtype
         plain = node.p["agg"] == "add" and len(node.inputs) == 2 and d == "f64" and not spec.broadcast and node.p["join"] == S.mul(S.hole(0, d), S.hole(1, d))
