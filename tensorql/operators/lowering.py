@@ -66,8 +66,8 @@ def aggregate(agg: str, dtype: str, x: Column, over: WindowSpec | None = None) -
 
 #: Values of a row that a window may hold; joins and aggregations of a plan that is not computed twice.
 ROW, HEAVY = 1 << 16, 8
-#: Contractions of so many products, and so many for each value that goes in, are done by blocks.
-PRODUCTS, INTENSITY = 1 << 24, 64
+#: Contractions of so many products, and so many for each value that goes in, are done by blocks: else each product is a row.
+PRODUCTS, INTENSITY = 1 << 24, 2
 
 
 @dataclass(frozen=True)
